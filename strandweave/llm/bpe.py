@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ._text import map_pieces
 
@@ -208,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
         flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*names, out])
 
-    schema = docs.select(*names).schema.add(out, "array<int>")
+    schema = docs.select(*names).schema.add(out, T.ArrayType(T.IntegerType()))
     return map_pieces(docs.select(*names), text, run, schema, 1 << 20)
 
 

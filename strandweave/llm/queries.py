@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, media_ts, sharding, toxicity, url_rules
+from . import bpe, decontam, line_dedup, media_ts, minhash, sharding, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "content_rule")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -37,6 +41,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -46,7 +54,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op5_url_filter, op7_byte_bpe, op8_toxicity, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op5_url_filter, op6_minhash, op7_byte_bpe, op8_toxicity, op9_fuzzy_lines, op10_virtual_slots)}
 
 
 #: DuckDB SQL with the same rows, where SQL can express them.
