@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, toxicity, url_rules
+from . import bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, suffix_dedup, toxicity, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_texts(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "content_rule")
 
@@ -58,7 +62,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op3_hidden_markov, op5_url_filter, op6_minhash, op7_byte_bpe, op8_toxicity, op9_fuzzy_lines, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op3_hidden_markov, op4_suffix_dedup, op5_url_filter, op6_minhash, op7_byte_bpe, op8_toxicity, op9_fuzzy_lines, op10_virtual_slots)}
 
 
 #: DuckDB SQL with the same rows, where SQL can express them.
