@@ -61,7 +61,7 @@ class Linear:
     scale: np.ndarray
 
     def predict(self, row: np.ndarray, h: np.ndarray, other: np.ndarray) -> np.ndarray:
-        z = np.c_[np.ones(len(other)), (other - self.center) / self.scale] @ self.weight[: 1 + other.shape[1]]
+        z = np.c_[np.ones(len(other)), _scaled(other, self.center, self.scale)] @ self.weight[: 1 + other.shape[1]]
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             on = self.words[at] == h
@@ -69,6 +69,11 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _scaled(x: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised and held within three deviations, so that odd texts (of no words, say) are not extrapolated to."""
+    return np.clip((x - center) / scale, -3, 3)
+
+
 def _fit(row: np.ndarray, h: np.ndarray, other: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1.0) -> Linear:
     """Fit on the rows of `use` (a mask), by Newton's method with a ridge penalty."""
     n1, n0 = int(y[use].sum()), int((~y[use]).sum())
@@ -91,7 +96,7 @@ def _fit(row: np.ndarray, h: np.ndarray, other: np.ndarray, y: np.ndarray, use:
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
         on = words[at] == h
         x[row[on], at[on]] = 1
-    m = np.c_[np.ones(len(y)), (other - center) / scale, x][use]
+    m = np.c_[np.ones(len(y)), _scaled(other, center, scale), x][use]
     t, w, penalty = y[use].astype(float), np.zeros(m.shape[1]), np.full(m.shape[1], ridge)
     penalty[0] = 1e-6
     penalty[1 + other.shape[1] :] = 0.1
