@@ -29,7 +29,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 # --- SQL parts ------------------------------------------------------------------------------------------------
-_SEQ = "regexp_replace(upper(text), '[^ACGTN]', '', 'g')"
+_SEQ = "regexp_replace(upper(text), '[^ACGT]', '', 'g')"
 _GENOMES = f"genomes AS (SELECT doc_id AS seq_id, lang AS organism, {_SEQ} AS seq FROM documents)"
 _READS = f"reads AS (SELECT item_id AS read_id, {_SEQ} AS seq FROM benchmark)"
 
@@ -89,6 +89,14 @@ def _(spark, d):
     return _index(spark, d)
 
 
+_INDEX_N = _INDEX.replace("[^ACGT]", "[^ACGTN]")
+
+
+@query("k2_kmer_index_n", f"WITH {_INDEX_N} SELECT * FROM idx")
+def _(spark, d):
+    return K.kmer_index(genomes(spark, d, keep_n=True), KMER)
+
+
 @query("k3_genome_stats", f"WITH {_INDEX} SELECT organism, bases, total_kmers, distinct_kmers FROM (SELECT organism, CAST(sum(length(seq)) AS BIGINT) AS bases FROM genomes GROUP BY 1) JOIN (SELECT organism, CAST(sum(cnt) AS BIGINT) AS total_kmers, count(*) AS distinct_kmers FROM idx GROUP BY 1) USING (organism)")
 def _(spark, d):
     return K.genome_stats(genomes(spark, d), KMER)
@@ -114,6 +122,11 @@ def _(spark, d):
     return M.minimizers(genomes(spark, d), KMER, WINDOW)
 
 
+@query("k7_minimizers_n", f"WITH {_MIN.replace('[^ACGT]', '[^ACGTN]')} SELECT seq_id, organism, minimizer FROM gm")
+def _(spark, d):
+    return M.minimizers(genomes(spark, d, keep_n=True), KMER, WINDOW)
+
+
 @query("k8_minimizer_index", f"WITH {_MIN} SELECT minimizer, organism FROM midx")
 def _(spark, d):
     return M.minimizer_index(genomes(spark, d), KMER, WINDOW)

@@ -12,14 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq_id, organism, seq): a document's bases; the organism is its language."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("organism"), dna(F.col("text")).alias("seq"))
+def genomes(spark: SparkSession, sf_dir: str, keep_n: bool = False) -> DataFrame:
+    """(seq_id, organism, seq): a document's bases (with N if asked for); the organism is its language."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("organism"), dna(F.col("text"), keep_n).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, seq): bases of the benchmark items."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), dna(F.col("text")).alias("seq"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), dna(F.col("text"), False).alias("seq"))
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
