@@ -1,26 +1,36 @@
-"""Connected components of an edge table, by DataFrame joins only."""
+"""Shared-folder tables and connected components, by DataFrame operations only."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's folder if it names one, else one of our own (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "strandweave-checkpoints"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return of_context.get() if of_context.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "strandweave")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: lineage ends, lost executors do no harm."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and read it from there.
+
+    Lineage ends, so a lost executor costs no recomputation from the start, and
+    columns are stored compressed.  The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/strandweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -31,7 +41,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     no round sees more rows than there are edges.  Nodes without an edge are not
     in the result.  Edges with a null end are ignored; loops and repeats do no harm.
     """
-    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u > v").distinct()
+    e = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).where("u > v").distinct()
     e = cut(e)
     before = None
     while True:
@@ -44,9 +54,17 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         hung = large.join(low, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         e = cut(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+#: Ids that are broadcast to pick rows at most; more are joined by a shuffle.
+PICKED = 1 << 18
+
+
+def few(ids: DataFrame) -> bool:
+    """Whether ids are few enough for a broadcast: counted, not guessed."""
+    return ids.limit(PICKED + 1).count() <= PICKED

@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import cut
+from ._graph import cut, few
 from ._text import Piece, map_pieces, mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM, CELL = 400, 100, 32
-#: Ids that are broadcast to pick rows at most (8 bytes each); more are joined by a shuffle.
-PICKED = 1 << 18
 _UNITS = "rid long, start int, n int, core long, ctx long"
 
 
@@ -251,7 +249,7 @@ def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """docs joined with per-row lists; rows without a list are left out early if their ids are few enough to broadcast."""
     lists = cut(lists)
     ids = lists.select("rid")
-    if ids.count() <= PICKED:
+    if few(ids):
         docs = docs.join(F.broadcast(ids), "rid", "left_semi")
     return docs.join(lists, "rid")
 
@@ -285,9 +283,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     src = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("rid"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     empty = F.array().cast("array<struct<start:int,n:int>>").alias("marks")
     ids = marks.select("rid")
-    if ids.count() <= PICKED:
-        few = F.broadcast(ids)
-        both = src.join(few, "rid", "left_anti").select("_key", "_text", empty).unionByName(src.join(few, "rid", "left_semi").join(marks, "rid").select("_key", "_text", "marks"))
+    if few(ids):
+        near = F.broadcast(ids)
+        both = src.join(near, "rid", "left_anti").select("_key", "_text", empty).unionByName(src.join(near, "rid", "left_semi").join(marks, "rid").select("_key", "_text", "marks"))
     else:
         both = src.join(marks, "rid", "left").select("_key", "_text", F.coalesce("marks", empty).alias("marks"))
 
