@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Longest stretch from which k-mers are cut directly: substring() walks a string from its start.
-CHUNK = 4096
+CHUNK = 512
 
 
 def dna(text: Column, keep_n: bool = True) -> Column:

@@ -8,11 +8,22 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import CHUNK, windows
 
+#: Chunks in a coarse piece.
+COARSE = 64
+
 
 def chunks(df: DataFrame, seq: str = "seq", size: int = CHUNK, overlap: int = 0, start: str = "chunk_start") -> DataFrame:
-    """Cut long sequences: pieces of `size` plus `overlap` further bases, with their 0-based start; empty ones vanish."""
-    at = F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(start, F.explode(at)).withColumn(seq, F.expr(f"substring({seq}, {start} + 1, {size + overlap})"))
+    """Cut long sequences: pieces of `size` plus `overlap` further bases, with their 0-based start; empty ones vanish.
+
+    Cutting goes in two steps, as substring() walks a string from its start.
+    """
+    big = COARSE * size
+    none = F.array().cast("array<int>")
+    outer = F.when(F.length(seq) > 0, F.sequence(F.lit(0), F.length(seq) - 1, F.lit(big))).otherwise(none)
+    out = df.withColumn("_outer", F.explode(outer)).withColumn(seq, F.expr(f"substring({seq}, _outer + 1, {big + overlap})"))
+    inner = F.sequence(F.lit(0), F.least(F.length(seq), F.lit(big)) - 1, F.lit(size))
+    out = out.withColumn("_inner", F.explode(inner)).withColumn(seq, F.expr(f"substring({seq}, _inner + 1, {size + overlap})"))
+    return out.withColumn(start, F.col("_outer") + F.col("_inner")).drop("_outer", "_inner")
 
 
 def kmers(df: DataFrame, k: int, seq: str = "seq", skip_n: bool = True) -> DataFrame:

@@ -12,6 +12,9 @@ from ..functions.sequence import mismatches
 from .components import components
 from .kmers import kmers, kmers_of_lengths
 
+#: Short sequences that are broadcast at most.
+FEW = 1 << 16
+
 
 def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str = "seq") -> DataFrame:
     """(read) of reads that are a strictly shorter part of another read.
@@ -30,8 +33,12 @@ def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str
     # Reads shorter than a seed are k-mers themselves; only longer reads can contain them.
     short = own.where(F.length("sa") < seed)
     sizes = sorted(r[0] for r in short.select(F.length("sa")).distinct().collect())  # below the seed's length
-    pieces = kmers_of_lengths(some.select(F.length(seq).alias("n"), F.col(seq).alias("seq")), sizes).where(F.col("n") > F.length("kmer")).select("kmer").distinct()
-    tiny = short.join(pieces, F.col("sa") == F.col("kmer"), "left_semi").select("a")
+    names = short.select(F.col("sa").alias("kmer")).distinct()
+    if names.limit(FEW + 1).count() <= FEW:  # else both sides are shuffled
+        names = F.broadcast(names)
+    pieces = kmers_of_lengths(some.select(F.length(seq).alias("n"), F.col(seq).alias("seq")), sizes).where(F.col("n") > F.length("kmer"))
+    inner = pieces.join(names, "kmer", "left_semi").select("kmer").distinct()
+    tiny = short.join(inner, F.col("sa") == F.col("kmer"), "left_semi").select("a")
     empty = reads.where(F.length(seq) == 0).select(F.col(read).alias("a"))
     if some.limit(1).count() == 0:
         empty = empty.limit(0)

@@ -18,7 +18,7 @@ def dna(rng, n):
 @pytest.fixture(scope="module")
 def seqs():
     rng = random.Random(11)
-    return [(i, dna(rng, n)) for i, n in enumerate([0, 1, 5, 30, 200, 5000])] + [(9, "ACGTNNACGTACGTN" * 4)]
+    return [(i, dna(rng, n)) for i, n in enumerate([0, 1, 5, 30, 200, 512, 33_500])] + [(9, "ACGTNNACGTACGTN" * 4)]
 
 
 def test_kmers_of_long_sequences_cross_chunks(spark, seqs):
