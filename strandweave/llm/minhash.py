@@ -5,11 +5,12 @@ Inverted lists of the retained values generate candidate pairs, the estimate
 from the union's sketch filters them, and the exact Jaccard similarity on full
 sets verifies every link.
 
-How groups of thousands stay linear: equal sets collapse first; only a sketch's
-rarest values are listed (as many as a qualifying partner must hit at least
-once); each list is first compared with its most central member only, and just
-lists whose members are still in different components are joined with
-themselves, under bounds that a shingle found nowhere else can never be shared.
+How groups of thousands stay near linear: equal sets collapse first; only a
+sketch's rarest values are listed (as many as a qualifying partner must hit at
+least once); each list is first compared with its pivot, its most central member,
+only.  Members that are then still in different components differ from the pivot
+themselves, and a link between them means that they share more than half of one's
+differences: an inverted list of the rarest differences finds such pairs.
 """
 
 from __future__ import annotations
@@ -117,6 +118,41 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, k: int, need: int)
     return both.select("a", "b", "na", "nb", shared.alias("i")).where(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
+def _apart(member: DataFrame, label: DataFrame, sets: DataFrame, percent: int, could) -> DataFrame:
+    """(a, b) with different labels that may be linked, among the members (pivot, node) of each pivot.
+
+    D(x) is the symmetric difference of x and the pivot p.  If x and y are linked,
+    |D(x)| + |D(y)| - 2 |D(x) & D(y)| = |x ^ y| <= r (|x| + |y|) with r = (1 - t) / (1 + t).
+    Of two nodes with different labels one, say x, is not labelled as p, so
+    |D(x)| > r (|x| + |p|), and y shares more than (|D(y)| - r (|y| - |p|)) / 2 of
+    its differences; and x shares |D(x)| - r |x| (1 + 1 / t) at least, as y is no
+    larger than |x| / t.  Of differences ordered by rarity both list as many as it
+    takes to hold one of so many shared ones.
+    """
+    r = (100 - percent) / (100 + percent)
+    own = member.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    home = member.select("pivot").distinct().join(label.select(F.col("node").alias("pivot"), F.col("label").alias("home")), "pivot", "left").withColumn("home", F.coalesce("home", "pivot"))
+    own = own.join(home, "pivot")
+    mixed = own.groupBy("pivot").agg(F.min(F.least("label", "home")).alias("lo"), F.max(F.greatest("label", "home")).alias("hi")).where("lo < hi").select("pivot")
+    full = own.join(mixed, "pivot").join(sets.select("node", "set"), "node").join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("np"), F.col("set").alias("ps")), "pivot")
+    cols = ["pivot", "node", "label", "home", "n", "usable", "np"]
+    delta = full.select(*cols, F.concat(F.array_except("set", "ps"), F.array_except("ps", "set")).alias("d"))
+    delta = cut(delta.select(*cols, F.size("d").alias("nd"), F.explode("d").alias("e")))
+    often = delta.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = delta.join(often, ["pivot", "e"]).groupBy(*cols, "nd").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("held"))
+    stranger = F.ceil(F.col("nd") - r * F.col("n") * (1 + 100 / percent) - 1e-6)
+    homely = F.floor((F.col("nd") - r * (F.col("n") - F.col("np"))) / 2 - 1e-6) + 1
+    shares = F.greatest(F.when(F.col("label") != F.col("home"), stranger).otherwise(homely), F.lit(1))
+    listed = held.withColumn("spare", (F.size("held") - shares + 1).cast("int")).where("spare > 0")
+    listed = listed.select(*cols, "nd", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("spare"))).alias("i", "x"))
+    listed = cut(listed.select(*cols, "nd", F.col("x.e").alias("e"), (F.col("size") - F.col("i")).alias("rest")))
+    x = listed.select("pivot", "e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("usable").alias("ua"), F.col("label").alias("la"), F.col("nd").alias("da"), F.col("rest").alias("ra"))
+    y = listed.select("pivot", "e", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("usable").alias("ub"), F.col("label").alias("lb"), F.col("nd").alias("db"), F.col("rest").alias("rb"))
+    # At the first difference that they share, no more than the rest of either list can be shared.
+    near = 2 * F.least("ra", "rb", "da", "db") >= F.col("da") + F.col("db") - r * (F.col("na") + F.col("nb")) - 1e-6
+    return x.join(y, ["pivot", "e"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near & could(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"))).select("a", "b").distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text", words: int = WORDS, k: int = K) -> DataFrame:
     """One row per row of docs: key, text_key, n_shingles, component_id, kept.
 
@@ -140,33 +176,29 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
     lists = value.join(often, "v").groupBy("node").agg(F.first("n").alias("n"), F.first("text_key").alias("text_key"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held"), F.sum("df").alias("weight"))
     lists = lists.withColumn("spare", (F.size("held") - overlap + 1).cast("int")).where("spare > 0")
     index = cut(lists.select("node", "n", "text_key", "weight", F.explode(F.slice("held", F.lit(1), F.col("spare"))).alias("e")).select("node", "n", "text_key", "weight", F.col("e.v").alias("v")))
-    shared = index.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "node")).alias("pivot")).where("c > 1")
-    index = index.join(shared.select("v", F.col("pivot.node").alias("pivot")), "v")
+    shared = index.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    index = index.join(shared.select("v"), "v")
 
     # Full sets of the documents that any list brings together with another.
     wanted = index.groupBy("node").agg(F.min("text_key").alias("text_key"))
     bodies = src.select("text_key", "_text").join(wanted, "text_key").groupBy("node").agg(F.first("_text").alias("_text"))
     sets = cut(_full_sets(bodies, words))
     single = sets.select("node", F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("single"))
-    usable = sets.select("node", "n").join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("usable"))
-    index = cut(index.select("v", "node", "n", "pivot").join(usable, "node").where(100 * F.col("usable") >= percent * F.col("n")))
+    usable = cut(sets.select("node", "n").join(single, "node", "left").select("node", (F.col("n") - F.coalesce("single", F.lit(0))).alias("usable")))
+    index = cut(index.select("v", "node", "n", "weight").join(usable, "node").where(100 * F.col("usable") >= percent * F.col("n")))
+    pivots = index.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "node")).alias("pivot")).where("c > 1")
+    member = cut(index.join(pivots.select("v", F.col("pivot.node").alias("pivot")), "v").where("pivot <> node").select("pivot", "node", "n", "usable").distinct())
 
     def could(na: Column, ua: Column, nb: Column, ub: Column) -> Column:
         return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * F.least(ua, ub) >= percent * (na + nb))
 
     # First every list's members against its pivot, the member whose values are the most common.
-    ends = index.groupBy("node").agg(F.first("n").alias("nb"), F.first("usable").alias("ub"))
-    star = index.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"), F.col("n").alias("na_"), F.col("usable").alias("ua_")).distinct()
-    star = star.join(ends.select(F.col("node").alias("a"), "nb", "ub"), "a").where(could(F.col("na_"), F.col("ua_"), F.col("nb"), F.col("ub")))
-    links = cut(_verify(star, sets, percent, k, need))
+    ends = sets.select(F.col("node").alias("pivot"), F.col("n").alias("np")).join(usable.select(F.col("node").alias("pivot"), F.col("usable").alias("up")), "pivot")
+    star = member.join(ends, "pivot").where(could(F.col("n"), F.col("usable"), F.col("np"), F.col("up")))
+    links = cut(_verify(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets, percent, k, need))
     label = components(links, "a", "b")
-    # Then pairs of members that are still apart.
-    named = index.join(label, "node", "left").select("v", "node", "n", "usable", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-    named = cut(named.join(mixed, "v"))
-    x = named.select("v", F.col("node").alias("a"), F.col("n").alias("na"), F.col("usable").alias("ua"), F.col("label").alias("la"))
-    y = named.select("v", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("usable").alias("ub"), F.col("label").alias("lb"))
-    apart = x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & could(F.col("na"), F.col("ua"), F.col("nb"), F.col("ub"))).select("a", "b").distinct()
+    # Then members of one list that are still apart.
+    apart = _apart(member, label, sets, percent, could)
     more = cut(_verify(apart, sets, percent, k, need))
     label = components(links.unionByName(more), "a", "b")
 
