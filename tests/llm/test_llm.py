@@ -467,6 +467,38 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def edited(rng, line, words, letters):
+    """The line with some words replaced and, in other words, one letter each."""
+    w = line.split()
+    at = rng.sample(range(len(w)), words + letters)
+    for i in at[:words]:
+        w[i] = "".join(rng.choice("bcdfgh") for _ in range(7))
+    for i in at[words:]:
+        j = rng.randrange(len(w[i]))
+        w[i] = w[i][:j] + "x" + w[i][j + 1 :]
+    return " ".join(w)
+
+
+def found(spark, pairs):
+    """Whether the second line of each pair, a text each, goes."""
+    got = line_dedup.dedup_lines(frame(spark, [(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)])).select("doc_id", "n_dropped").collect()
+    gone = {r.doc_id: r.n_dropped == 1 for r in got}
+    return [gone[i] for i in range(len(pairs))]
+
+
+def own_line(rng, n):
+    return " ".join("".join(rng.choice("aeiourstlnmp") for _ in range(rng.choice([2, 3, 5, 7, 9]))) for _ in range(n))
+
+
+def test_lines_with_replaced_words_are_found(spark):
+    rng = random.Random(21)
+    kinds = [(n, words) for n in (5, 8, 10, 20, 50) for words in {1, n // 5} for _ in range(60)]
+    lines = [(own_line(rng, n), words) for n, words in kinds]
+    got = found(spark, [(l, edited(rng, l, words, 0)) for l, words in lines])
+    for kind in set(kinds):
+        assert np.mean([g for g, k in zip(got, kinds) if k == kind]) >= 0.95, kind
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     rng = random.Random(13)
