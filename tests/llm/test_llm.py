@@ -499,6 +499,17 @@ def test_lines_with_replaced_words_are_found(spark):
         assert np.mean([g for g, k in zip(got, kinds) if k == kind]) >= 0.95, kind
 
 
+def test_lines_beyond_the_packed_counters_have_simhashes(spark):
+    rng = random.Random(22)
+    line = prose(rng, 9000)
+    rows = frame(spark, [(1, line), (2, line.replace(" ", "  ", 1))])
+    w = line.lower().split()
+    h = {r.w: r.h for r in spark.createDataFrame([(x,) for x in set(w)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    want = sum(1 << i for i in range(64) if 2 * sum(h[x] >> i & 1 for x in w) > len(w))
+    assert [r.simhash & (2**64 - 1) for r in line_dedup.occurrences(rows).collect()] == [want, want]
+    assert found(spark, [(line, edited(rng, line, 1, 0))]) == [True]
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     rng = random.Random(13)
