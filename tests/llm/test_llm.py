@@ -510,6 +510,19 @@ def test_lines_beyond_the_packed_counters_have_simhashes(spark):
     assert found(spark, [(line, edited(rng, line, 1, 0))]) == [True]
 
 
+def test_lines_with_changed_letters_are_found(spark):
+    rng = random.Random(23)
+    kinds = [(10, 3), (20, 6), (50, 15)]
+    lines = [(own_line(rng, n), n, letters) for n, letters in kinds for _ in range(60)]
+    short = [("greetings everybody", "greetinqs everybody"), ("internationale", "internatiomale"), ("one two three seventeen", "one two threx seventeen"), ("hello there again my friends", "hallo there again my friend"), ("thoroughly different", "something unrelated")]
+    got = found(spark, [(l, edited(rng, l, 0, letters)) for l, _, letters in lines] + short)
+    for n, _ in kinds:
+        share = np.mean([g for g, l in zip(got, lines) if l[1] == n])
+        print("letters", n, share)
+        assert share >= 0.8, n
+    assert got[-5:] == [True, True, True, True, False]
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     rng = random.Random(13)
