@@ -545,3 +545,20 @@ def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard == plan.shard
     empty = frame(spark, [])
     assert sharding.assign_shards(empty, sharding.plan_shards(empty, 8)).count() == 0
+
+
+# --- pipeline -------------------------------------------------------------------------------------------------
+def test_pipeline_stages_read_what_was_written(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    frame(spark, [(1, "a"), (2, "b")]).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def stage(spark, docs, sf_dir):
+        seen.append(docs.inputFiles())
+        return docs.withColumn("extra", F.concat("extra", F.lit("y")))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert all("documents.parquet" in f for f in seen[0]) and seen[1] and not any("documents.parquet" in f for f in seen[1] + out.inputFiles())
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "xyy"), (2, "b", "xyy")]
