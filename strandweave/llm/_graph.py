@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,26 +12,56 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of our own (tests); a cluster
+    gets an error, as its executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return of_context.get() if of_context.isDefined() else "file://" + os.path.join(tempfile.gettempdir(), "strandweave")
+    if of_context.isDefined():
+        return of_context.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "strandweave")
+
+
+#: Seconds between two requests to free what finished steps have left behind.
+SWEEP_S = 4.0
+_swept = [0.0]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there.
 
     Lineage ends, so a lost executor costs no recomputation from the start, and
-    columns are stored compressed.  The table goes when the application ends.
+    columns are stored compressed.  The table goes when the application ends, or
+    with `forget`.  Shuffle files are freed once the driver has collected the
+    plans that made them, which it is asked to do now and then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    schema = df.schema
+    del df
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    if time.monotonic() - _swept[0] > SWEEP_S:
+        spark._jvm.System.gc()
+        _swept[0] = time.monotonic()
+    out = spark.read.schema(schema).parquet(path)
+    out._strandweave_table = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `cut` has written, when nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._strandweave_table)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -53,7 +84,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        e = cut(small)
+        last, e = e, cut(small)
+        forget(last)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

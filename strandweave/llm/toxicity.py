@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._graph import cut, forget
 from ._text import ALNUM, Piece, map_pieces
 
 #: Labelled rows that are fitted on at most, folds, word features of a model at most and how far from chance a word must be.
@@ -74,23 +75,34 @@ def _scaled(x: np.ndarray, center: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - center) / scale, -3, 3)
 
 
-def _fit(row: np.ndarray, h: np.ndarray, other: np.ndarray, y: np.ndarray, use: np.ndarray, ridge: float = 1.0) -> Linear:
-    """Fit on the rows of `use` (a mask), by Newton's method with a ridge penalty."""
+def _z(a, b, n1, n0, sqrt):
+    """How far apart the shares a / n1 and b / n0 are, in standard deviations (numbers, arrays or columns)."""
+    p = (a + b + 1) / (n1 + n0 + 2)
+    return (a / n1 - b / n0) / sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def choose_words(row: np.ndarray, h: np.ndarray, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The words that tell the rows of `use` (a mask) apart best: WORDS at most, Z standard deviations or more; sorted."""
+    n1, n0 = int(y[use].sum()), int((~y[use]).sum())
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64)
+    inside = use[row]
+    r, v = row[inside], h[inside]
+    seen, code = np.unique(v, return_inverse=True)
+    a = np.bincount(code, weights=y[r].astype(float), minlength=len(seen))
+    z = _z(a, np.bincount(code, minlength=len(seen)) - a, n1, n0, np.sqrt)
+    best = np.lexsort((seen.view(np.int64), -np.abs(z)))[:WORDS]
+    return np.sort(seen[best[np.abs(z[best]) > Z]])
+
+
+def _fit(row: np.ndarray, h: np.ndarray, other: np.ndarray, y: np.ndarray, use: np.ndarray, words: np.ndarray, ridge: float = 1.0) -> Linear:
+    """Fit on the rows of `use` (a mask) and the chosen words, by Newton's method with a ridge penalty."""
     n1, n0 = int(y[use].sum()), int((~y[use]).sum())
     center, scale = other[use].mean(0) if use.any() else np.zeros(other.shape[1]), other[use].std(0) + 1e-6 if use.any() else np.ones(other.shape[1])
     if not n1 or not n0:  # one class only: a constant
         w = np.zeros(1 + other.shape[1])
         w[0] = 8.0 if n1 else -8.0
         return Linear(np.zeros(0, np.uint64), w, center, scale)
-    inside = use[row]
-    r, v = row[inside], h[inside]
-    seen, code = np.unique(v, return_inverse=True)
-    a = np.bincount(code, weights=y[r].astype(float), minlength=len(seen))
-    b = np.bincount(code, minlength=len(seen)) - a
-    p = (a + b + 1) / (n1 + n0 + 2)
-    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    best = np.lexsort((seen, -np.abs(z)))[:WORDS]
-    words = np.sort(seen[best[np.abs(z[best]) > Z]])
     x = np.zeros((len(y), len(words)))
     if len(words):
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
@@ -127,51 +139,97 @@ class Chain:
         return np.stack(out, 1) if out else np.zeros((len(column), 0))
 
 
-def fit_rows(row: np.ndarray, h: np.ndarray, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...]) -> Chain:
-    """Fit the chain; `fold` deals rows to FOLDS parts for the out-of-fold probabilities."""
+def fit_rows(row: np.ndarray, h: np.ndarray, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...], words: dict | None = None) -> Chain:
+    """Fit the chain; `fold` deals rows to FOLDS parts for the out-of-fold probabilities.
+
+    (row, h) are the words of each row.  `words` has the chosen words of each
+    category and fold left out (-1: none); they are chosen here if it is None.
+    """
     models, other, every = [], dense, np.ones(len(dense), bool)
     for k in range(len(categories)):
         y = labels[:, k].astype(bool)
-        models.append(_fit(row, h, other, y, every))
+        chosen = lambda f, use: choose_words(row, h, y, use) if words is None else words[k, f]  # noqa: B023, E731
+        models.append(_fit(row, h, other, y, every, chosen(-1, every)))
         held = np.zeros(len(y))
         for f in range(FOLDS):
             use = fold != f
             if use.any() and not use.all():
-                held[~use] = _fit(row, h, other, y, use).predict(row, h, other)[~use]
+                held[~use] = _fit(row, h, other, y, use, chosen(f, use)).predict(row, h, other)[~use]
         other = np.c_[other, held]
     return Chain(tuple(categories), models)
 
 
-def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, key: str = "doc_id", text: str = "text", max_rows: int = SAMPLE_ROWS) -> Chain:
-    """Fit on at most `max_rows` labelled documents, chosen by the hash of their key.
-
-    Rows without a key or with a null label are left out; of repeated labels the
-    larger counts; a document that repeats a key is seen as often as it occurs
-    within the bound.  Without labelled rows every probability is near 0.
-    """
-    flags = [f"_y{i}" for i in range(len(categories))]
-    want = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("int").alias(a) for c, a in zip(categories, flags)]).dropna()
+def _sample(docs: DataFrame, labels: DataFrame, flags: dict[str, str], key: str, text: str, max_rows: int) -> DataFrame:
+    """(_key, _order, fold, labels, h, dense) of at most max_rows labelled documents, one for each key."""
+    want = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("int").alias(a) for a, c in flags.items()]).dropna()
     want = want.groupBy("_key").agg(*[F.max(a).alias(a) for a in flags]).withColumn("_order", F.xxhash64("_key")).orderBy("_order", "_key").limit(max_rows)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(want), "_key")
+    rows = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")).join(F.broadcast(want), "_key")
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, h, dense = _piece_features(batch.column("_text"))
         at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("_order"), *[batch.column(a) for a in flags], pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), _DENSE).cast(pa.list_(pa.float64()))],
-            names=["_order", *flags, "h", "dense"],
-        )
-
-    schema = "_order long, " + ", ".join(f"{a} int" for a in flags) + ", h array<long>, dense array<double>"
-    got = map_pieces(rows.select("_order", *flags, "_text"), "_text", run, schema).toArrow().combine_chunks()
-    got = got.take(pa.array(np.argsort(got.column("_order").to_numpy(), kind="stable")[:max_rows]))
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), pa.FixedSizeListArray.from_arrays(pa.array(dense.ravel()), _DENSE).cast(pa.list_(pa.float64()))]
+        same = ["_key", "_hash", "_order", *flags]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], *lists], names=[*same, "h", "dense"])
+
+    schema = f"_key {kind}, _hash long, _order long, " + ", ".join(f"{a} int" for a in flags) + ", h array<long>, dense array<double>"
+    found = map_pieces(rows.select("_key", "_hash", "_order", *flags, "_text"), "_text", run, schema)
+    one = found.groupBy("_key").agg(F.min_by(F.struct("_order", *flags, "h", "dense"), "_hash").alias("x"))
+    return one.select("_key", "x.*").withColumn("fold", F.pmod("_order", F.lit(FOLDS)).cast("int"))
+
+
+def _chosen(sample: DataFrame, flags: list[str]) -> dict:
+    """The chosen words of each category and fold left out, counted by a shuffled aggregation; WORDS rows a model come to the driver."""
+    parts = [(k, f) for k in range(len(flags)) for f in (-1, *range(FOLDS))]
+    of = lambda f: F.col("fold") != f
+    sizes = sample.agg(*[F.coalesce(F.sum(F.when(of(f) & (F.col(flags[k]) > 0), 1).otherwise(0)), F.lit(0)).alias(f"p{i}") for i, (k, f) in enumerate(parts)], *[F.coalesce(F.sum(F.when(of(f), 1).otherwise(0)), F.lit(0)).alias(f"n{i}") for i, (k, f) in enumerate(parts)]).first()
+    word = sample.select("fold", *flags, F.explode("h").alias("h"))
+    held = [F.sum(F.when(F.col("fold") == f, 1).otherwise(0)).alias(f"n{f}") for f in range(FOLDS)]
+    held += [F.sum(F.when((F.col("fold") == f) & (F.col(a) > 0), 1).otherwise(0)).alias(f"p{k}_{f}") for k, a in enumerate(flags) for f in range(FOLDS)]
+    counts = cut(word.groupBy("h").agg(*held))
+    out = {part: np.zeros(0, np.uint64) for part in parts}
+    best = None
+    for i, (k, f) in enumerate(parts):
+        n1, n0 = sizes[f"p{i}"], sizes[f"n{i}"] - sizes[f"p{i}"]
+        if not n1 or not n0:
+            continue
+        a = sum((F.col(f"p{k}_{g}") for g in range(FOLDS) if g != f), F.lit(0)).cast("double")
+        b = sum((F.col(f"n{g}") for g in range(FOLDS) if g != f), F.lit(0)).cast("double") - a
+        top = counts.select(F.lit(i).alias("part"), "h", F.abs(_z(a, b, n1, n0, F.sqrt)).alias("z")).where(F.col("z") > Z).orderBy(F.desc("z"), "h").limit(WORDS)
+        best = top if best is None else best.unionByName(top)
+    if best is not None:
+        rows = best.collect()
+        for i, part in enumerate(parts):
+            out[part] = np.sort(np.array([r["h"] for r in rows if r["part"] == i], np.int64).view(np.uint64))
+    forget(counts)
+    return out
+
+
+def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, key: str = "doc_id", text: str = "text", max_rows: int = SAMPLE_ROWS) -> Chain:
+    """Fit on at most `max_rows` labelled documents, chosen by the hash of their key.
+
+    Rows without a key or with a null label are left out; of repeated labels the
+    larger counts; of documents that share a key the one with the smallest text
+    hash counts.  Without labelled rows every probability is near 0.  Words are
+    counted and chosen on the executors: the driver receives WORDS words a model,
+    and of each sampled row its labels, dense features and chosen words.
+    """
+    flags = {f"_y{i}": c for i, c in enumerate(categories)}
+    sample = cut(_sample(docs, labels, flags, key, text, max_rows))
+    words = _chosen(sample, list(flags))
+    every = np.unique(np.concatenate([*words.values(), np.zeros(0, np.uint64)])).astype(np.uint64)
+    ours = F.array(*[F.lit(int(x)).cast("long") for x in every.view(np.int64)]) if len(every) else F.array().cast("array<long>")
+    got = sample.select("_order", *flags, F.array_intersect("h", ours).alias("h"), "dense").toArrow().combine_chunks()
+    got = got.take(pa.array(np.argsort(got.column("_order").to_numpy(), kind="stable")))
+    forget(sample)
     n = got.num_rows
     size = np.array([len(x) for x in got.column("h")], np.int64)
-    h = np.concatenate([np.asarray(x.values) for x in got.column("h")] or [np.zeros(0, np.int64)]).view(np.uint64)
+    h = np.concatenate([np.asarray(x.values) for x in got.column("h")] or [np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
     dense = np.array(got.column("dense").to_pylist(), float).reshape(n, _DENSE)
     y = np.stack([got.column(a).to_numpy() > 0 for a in flags], 1) if n else np.zeros((0, len(flags)), bool)
     fold = got.column("_order").to_numpy() % FOLDS if n else np.zeros(0, np.int64)
-    return fit_rows(np.repeat(np.arange(n), size), h, dense, y, fold, categories)
+    return fit_rows(np.repeat(np.arange(n), size), h, dense, y, fold, categories, words)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -390,6 +390,28 @@ def test_toxicity_chain(spark):
     assert toxicity.score(docs, nothing).where("toxic").count() == 0
 
 
+def test_words_chosen_on_executors_equal_those_chosen_from_all_rows(spark):
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(400):
+        bad, dull = i % 4 == 0, i % 3 == 0
+        rows.append((i, prose(rng, 60, 80) + " idiot" * bad + " moron" * (bad and i % 8 == 0) + " meh meh" * dull))
+        labels.append((i, int(dull), int(bad)))
+    rows += [(7, "another text of the same key")] * 50 + [(None, "idiot"), (900, None)]
+    docs, marks = frame(spark, rows), spark.createDataFrame([*labels, (900, 0, 1)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train_chain(docs, marks)
+    # The same rows by brute force: for each key its text with the smallest hash, in the order of the key's hash.
+    keyed = docs.join(marks, "doc_id").select("doc_id", "text", "quality", "toxic", F.xxhash64("doc_id").alias("o"), F.xxhash64("text").alias("t")).collect()
+    one = sorted({r.doc_id: r for r in sorted(keyed, key=lambda r: -r.t)}.values(), key=lambda r: r.o)
+    row, h, dense = toxicity._piece_features(pa.array([r.text for r in one], pa.string()))
+    want = toxicity.fit_rows(row, h, dense, np.array([(r.quality, r.toxic) for r in one]), np.array([r.o % toxicity.FOLDS for r in one]), toxicity.CATEGORIES)
+    for a, b in zip(chain.models, want.models):
+        assert a.words.tolist() == b.words.tolist() and np.allclose(a.weight, b.weight, atol=1e-6)
+    assert len(chain.models[1].words)
+    few = toxicity._sample(docs, marks, {"_y0": "quality", "_y1": "toxic"}, "doc_id", "text", 5)
+    assert few.count() == 5
+
+
 def test_out_of_fold_probabilities_feed_the_next_model():
     rng = np.random.default_rng(1)
     n = 400
