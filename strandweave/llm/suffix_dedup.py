@@ -9,6 +9,9 @@ window by window.  There each shard mergesorts its suffixes, comparing them by
 polynomial prefix hashes and binary search for the common extension, verifies
 equal neighbours byte by byte, and the shards' sorted classes meet in a shuffled
 aggregation by digest.  No group is ever gathered in one task.
+
+The same search runs over words as well as bytes: the passages of 50 words or
+more that documents share with one another.
 """
 
 from __future__ import annotations
@@ -20,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import cut, few
-from ._text import Piece, map_pieces, mix, powers, prefix_hash, span_hash
+from ._graph import cut, few, forget
+from ._text import ALNUM, Piece, map_pieces, mix, powers, prefix_hash, span_hash
 
+#: Of repeated byte strings: their length, that of the grams they are anchored by, and of the cells that runs are cut into.
 LENGTH, GRAM, CELL = 400, 100, 32
+#: The same of shared passages, in words.
+WORDS, WORD_GRAM, WORD_CELL = 50, 8, 8
 _UNITS = "rid long, start int, n int, core long, ctx long"
 
 
@@ -31,14 +37,16 @@ _UNITS = "rid long, start int, n int, core long, ctx long"
 
 
 class Suffixes:
-    """Suffixes of a byte array, compared on their first `limit` bytes by prefix hashes."""
+    """Suffixes of an array of bytes or words, compared on their first `limit` symbols by prefix hashes."""
 
     def __init__(self, data: np.ndarray, limit: int):
         self.data, self.limit, self.h = data, limit, prefix_hash(data)
-        padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
-        self.head = np.zeros(len(data), np.uint64)  # first eight bytes, for the first distribution
-        for k in range(8):
-            self.head = self.head << np.uint64(8) | padded[k : k + len(data)]
+        self.head = data  # first word or first eight bytes, for the first distribution
+        if data.dtype == np.uint8:
+            padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+            self.head = np.zeros(len(data), np.uint64)
+            for k in range(8):
+                self.head = self.head << np.uint64(8) | padded[k : k + len(data)]
 
     def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common extension of each pair, up to the limit: binary search over prefix hashes."""
@@ -129,12 +137,27 @@ def _window_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+class _Symbols:
+    """The bytes of some texts, or their lower-cased words as 64-bit hashes, end to end; start, end and size of each text."""
+
+    def __init__(self, column: pa.Array, words: bool):
+        piece = Piece(column)
+        self.data, self.start, self.end, self.size = piece.bytes, piece.start, piece.end, piece.size
+        if words:
+            start, end, row = piece.words(ALNUM)
+            at = np.searchsorted(row, np.arange(len(column) + 1))
+            self.data, self.start, self.end, self.size = piece.word_hashes(start, end), at[:-1], at[1:], np.diff(at)
+
+    def row_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, at, "right") - 1
+
+
 class _Anchored:
     """The windows of a piece's texts, as runs that share their anchor."""
 
-    def __init__(self, column: pa.Array, length: int, gram: int):
-        self.piece, self.length, self.gram = Piece(column), length, gram
-        data = self.piece.bytes
+    def __init__(self, column: pa.Array, words: bool, length: int, gram: int):
+        self.piece, self.length, self.gram = _Symbols(column, words), length, gram
+        data = self.piece.data
         self.h = prefix_hash(data)
         z = np.zeros(0, np.int64)
         self.row = self.first = self.n = self.anchor = z
@@ -152,7 +175,7 @@ class _Anchored:
         new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
         begin = np.flatnonzero(new)
         self.first, self.n, self.anchor = window[begin], np.diff(np.append(begin, len(window))), anchor[begin]
-        self.row = np.searchsorted(self.piece.start, self.first, "right") - 1
+        self.row = self.piece.row_of(self.first)
 
     def digest(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return mix(span_hash(self.h, start, end) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -162,11 +185,11 @@ def _units(rid: pa.Array, a: _Anchored, row: np.ndarray, start: np.ndarray, n: n
     return pa.RecordBatch.from_arrays([rid.take(pa.array(row)), pa.array((start - a.piece.start[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(core), pa.array(ctx)], names=["rid", "start", "n", "core", "ctx"])
 
 
-def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _runs(docs: DataFrame, words: bool, length: int, gram: int) -> DataFrame:
     """Every run of windows that share an anchor: core is the anchor's gram, ctx all bytes of the run's windows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a = _Anchored(batch.column("_text"), length, gram)
+        a = _Anchored(batch.column("_text"), words, length, gram)
         core = a.digest(a.anchor, a.anchor + gram, np.zeros(len(a.n)))
         ctx = a.digest(a.first, a.first + a.n - 1 + length, a.anchor - a.first)
         return _units(batch.column("rid"), a, a.row, a.first, a.n, core, ctx)
@@ -174,20 +197,20 @@ def _runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return map_pieces(docs, "_text", run, _UNITS)
 
 
-def _wanted_runs(batch: pa.RecordBatch, length: int, gram: int) -> tuple[_Anchored, np.ndarray]:
+def _wanted_runs(batch: pa.RecordBatch, words: bool, length: int, gram: int) -> tuple[_Anchored, np.ndarray]:
     """The piece's runs and which of them start at a place listed in the column `want`."""
-    a = _Anchored(batch.column("_text"), length, gram)
+    a = _Anchored(batch.column("_text"), words, length, gram)
     want = batch.column("want")
     flat = np.asarray(want.flatten(), np.int64)
     row = np.repeat(np.arange(batch.num_rows), np.asarray([len(x) for x in want], np.int64))
     return a, np.isin(a.first, a.piece.start[row] + flat)
 
 
-def _cells(docs: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+def _cells(docs: DataFrame, words: bool, length: int, gram: int, cell: int) -> DataFrame:
     """Wanted runs cut into cells at fixed distances from the anchor; core is what all windows of a cell share."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, use = _wanted_runs(batch, length, gram)
+        a, use = _wanted_runs(batch, words, length, gram)
         first, n, anchor, row = a.first[use], a.n[use], a.anchor[use], a.row[use]
         far, near = (anchor - first) // cell, (anchor - first - n + 1) // cell
         many = far - near + 1
@@ -204,11 +227,11 @@ def _cells(docs: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
     return map_pieces(docs, "_text", run, _UNITS)
 
 
-def _windows(docs: DataFrame, length: int) -> DataFrame:
+def _windows(docs: DataFrame, words: bool, length: int) -> DataFrame:
     """Single windows of the listed cells: each shard's suffixes are mergesorted and equal ones share a verified digest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        piece, want = Piece(batch.column("_text")), batch.column("want")
+        piece, want = _Symbols(batch.column("_text"), words), batch.column("want")
         cells = np.asarray([len(x) for x in want], np.int64)
         flat = want.flatten()
         start, n = np.asarray(flat.field("start"), np.int64), np.asarray(flat.field("n"), np.int64)
@@ -216,9 +239,9 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
         pos = piece.start[row] + np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         pos, at = np.unique(pos, return_index=True)
         row = row[at]
-        order, lcp = Suffixes(piece.bytes, length).sort(pos)
+        order, lcp = Suffixes(piece.data, length).sort(pos)
         first = np.maximum.accumulate(np.where(lcp < length, np.arange(len(order)), 0)) if len(order) else order
-        h = prefix_hash(piece.bytes)
+        h = prefix_hash(piece.data)
         digest = span_hash(h, order[first], order[first] + length).view(np.int64) if len(order) else order
         row = row[np.searchsorted(pos, order)]
         return pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), pa.array((order - piece.start[row]).astype(np.int32)), pa.array(np.ones(len(order), np.int32)), pa.array(digest), pa.array(digest)], names=["rid", "start", "n", "core", "ctx"])
@@ -229,19 +252,23 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
 # --- settling -------------------------------------------------------------------------------------------------
 
 
-def _settle(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _settle(units: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
     """(repeated, open): units whose ctx occurs again, and those that a finer look must compare.
 
     A unit whose core occurs once is unique.  One whose core occurs again but
-    not its ctx is open, and so is one unit for each repeated ctx of that core.
+    not its ctx is open, and so are two units for each repeated ctx of that core.
+    With `across`, occurrences in one text count once.
     """
-    mark = F.xxhash64("rid", "start")
-    kinds = units.groupBy("core", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(mark).alias("pick"))
-    cores = kinds.groupBy("core").agg(F.sum("c").alias("total"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("alone")).where("total > 1")
-    kinds = kinds.join(cores, "core").select("core", "ctx", "c", "pick", "alone")
+    place = F.struct("rid", "start")
+    again = (lambda lo, hi: F.col(f"{lo}.rid") < F.col(f"{hi}.rid")) if across else (lambda lo, hi: F.col(lo) < F.col(hi))
+    kinds = units.groupBy("core", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("c"))
+    kinds = kinds.withColumn("again", again("lo", "hi") if across else F.col("c") > 1)
+    cores = kinds.groupBy("core").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.sum("c").alias("total"), F.max(~F.col("again")).alias("alone"))
+    cores = cores.where(again("low", "high") if across else F.col("total") > 1)
+    kinds = kinds.join(cores, "core").select("core", "ctx", "again", "lo", "hi", "alone")
     known = units.join(kinds, ["core", "ctx"])
-    repeated = known.where("c > 1").select("rid", "start", "n")
-    open_ = known.where((F.col("c") == 1) | ((F.col("alone") > 0) & (F.col("pick") == mark))).select("rid", "start", "n")
+    repeated = known.where("again").select("rid", "start", "n")
+    open_ = known.where(~F.col("again") | (F.col("alone") & ((F.col("lo") == place) | (F.col("hi") == place)))).select("rid", "start", "n")
     return repeated, open_
 
 
@@ -254,16 +281,25 @@ def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.join(lists, "rid")
 
 
-def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """(rid, start, n): runs of window starts whose windows occur again; rid hashes key and text."""
+def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, cell: int = CELL, words: bool = False) -> DataFrame:
+    """(rid, start, n): runs of window starts whose windows occur again; rid hashes key and text.
+
+    Windows are of bytes and may occur again in the same text, or with `words`
+    of words, and must occur in another text.
+    """
     src = _keyed(docs, key, text)
-    full, open_ = _settle(cut(_runs(src, length, gram)))
+    units = cut(_runs(src, words, length, gram))
+    full, open_ = _settle(units, words)
     full = cut(full)
     near = cut(_with_lists(src, open_.groupBy("rid").agg(F.collect_set("start").alias("want"))))
-    more, open_ = _settle(cut(_cells(near, length, gram, cell)))
+    forget(units)
+    units = cut(_cells(near, words, length, gram, cell))
+    more, open_ = _settle(units, words)
     more = cut(more)
-    fine = near.select("rid", "_text").join(cut(open_.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("want"))), "rid")
-    last, _ = _settle(cut(_windows(fine, length)))
+    fine = cut(near.select("rid", "_text").join(cut(open_.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("want"))), "rid"))
+    forget(units, near)
+    last = cut(_settle(cut(_windows(fine, words, length)), words)[0])
+    forget(fine)
     return full.unionByName(more).unionByName(last)
 
 
@@ -271,43 +307,61 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("rid"), F.col(text).alias("_text"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) of every text.
+def _covered(symbols: _Symbols, marks: pa.Array, length: int) -> np.ndarray:
+    """Which symbols lie in a window that the lists of marks name."""
+    count = np.asarray([len(x) for x in marks], np.int64)
+    flat = marks.flatten()
+    row = np.repeat(np.arange(len(marks)), count)
+    start = symbols.start[row] + np.asarray(flat.field("start"), np.int64)
+    change = np.zeros(len(symbols.data) + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + np.asarray(flat.field("n"), np.int64) - 1 + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, words: int = WORDS) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words, shared_passage (and kept: the remaining bytes) of every text.
 
     Matches never cross texts and are judged on the input.  Null counts as
     empty; texts shorter than `length` keep every byte.  Rows that repeat key
     and text are occurrences of their own and get equal results.
+    n_shared_words counts the words (lower-cased runs of digits, letters and all
+    beyond ASCII) in passages of `words` words that another text holds as well;
+    it decides nothing about what is removed.
     """
     kind = docs.schema[key].dataType.simpleString()
-    marks = cut(repeated_windows(docs, key, text, length, gram).groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("marks")))
+    found = repeated_windows(docs, key, text, length, gram).select("rid", F.struct("start", "n").alias("b"), F.lit(None).cast("struct<start:int,n:int>").alias("w"))
+    shared = repeated_windows(docs, key, text, words, WORD_GRAM, WORD_CELL, True).select("rid", F.lit(None).cast("struct<start:int,n:int>").alias("b"), F.struct("start", "n").alias("w"))
+    marks = cut(found.unionByName(shared).groupBy("rid").agg(F.collect_list("b").alias("marks"), F.collect_list("w").alias("word_marks")))
     src = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("rid"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    empty = F.array().cast("array<struct<start:int,n:int>>").alias("marks")
+    empty = F.array().cast("array<struct<start:int,n:int>>")
     ids = marks.select("rid")
+    lists = ("marks", "word_marks")
     if few(ids):
         near = F.broadcast(ids)
-        both = src.join(near, "rid", "left_anti").select("_key", "_text", empty).unionByName(src.join(near, "rid", "left_semi").join(marks, "rid").select("_key", "_text", "marks"))
+        both = src.join(near, "rid", "left_anti").select("_key", "_text", *[empty.alias(c) for c in lists]).unionByName(src.join(near, "rid", "left_semi").join(marks, "rid").select("_key", "_text", *lists))
     else:
-        both = src.join(marks, "rid", "left").select("_key", "_text", F.coalesce("marks", empty).alias("marks"))
+        both = src.join(marks, "rid", "left").select("_key", "_text", *[F.coalesce(c, empty).alias(c) for c in lists])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        piece, marks = Piece(batch.column("_text")), batch.column("marks")
-        count = np.asarray([len(x) for x in marks], np.int64)
-        flat = marks.flatten()
-        row = np.repeat(np.arange(batch.num_rows), count)
-        start = piece.start[row] + np.asarray(flat.field("start"), np.int64)
-        end = start + np.asarray(flat.field("n"), np.int64) - 1 + length
-        change = np.zeros(len(piece.bytes) + 1, np.int64)
-        np.add.at(change, start, 1)
-        np.add.at(change, end, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        column = batch.column("_text")
+        piece = _Symbols(column, False)
+        gone = _covered(piece, batch.column("marks"), length)
+        n_shared = np.zeros(batch.num_rows, np.int64)
+        marked = np.flatnonzero([len(x) > 0 for x in batch.column("word_marks")])
+        if len(marked):
+            of = _Symbols(column.take(pa.array(marked)), True)
+            total = np.concatenate(([0], np.cumsum(_covered(of, batch.column("word_marks").take(pa.array(marked)), words))))
+            n_shared[marked] = total[of.end] - total[of.start]
         edge = gone.copy()
         edge[1:] &= ~gone[:-1]
         out = []
         for s, e in zip(piece.start.tolist(), piece.end.tolist()):
-            kept = piece.bytes[s:e][~gone[s:e]].tobytes()
+            kept = piece.data[s:e][~gone[s:e]].tobytes()
             out.append((e - s, int(gone[s:e].sum()), int(edge[s:e].sum()), hashlib.sha256(kept).hexdigest(), kept))
-        names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+        names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words", "shared_passage"] + ["kept"] * with_text
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([batch.column("_key"), *[pa.array([x[i] for x in out], kinds[i]) for i in range(len(names) - 1)]], names=names)
+        columns = [pa.array([x[i] for x in out], kinds[i]) for i in range(5)]
+        return pa.RecordBatch.from_arrays([batch.column("_key"), *columns[:4], pa.array(n_shared), pa.array(n_shared > 0), *columns[4:][: len(names) - 7]], names=names)
 
-    return map_pieces(both, "_text", run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return map_pieces(both, "_text", run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, shared_passage boolean" + ", kept binary" * with_text)

@@ -238,6 +238,68 @@ def test_repeats(spark, length, gram):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def brute_shared(rows, n):
+    """Words in windows of n words that a row with another key or text holds as well."""
+    split = [re.findall("[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)) for _, t in rows]
+    owners = collections.defaultdict(set)
+    for r, w in zip(rows, split):
+        for p in range(len(w) - n + 1):
+            owners[tuple(w[p : p + n])].add(r)
+    out = collections.Counter()
+    for r, w in zip(rows, split):
+        hit = set()
+        for p in range(len(w) - n + 1):
+            if len(owners[tuple(w[p : p + n])]) > 1:
+                hit.update(range(p, p + n))
+        out[r[0], len(hit)] += 1
+    return out
+
+
+def test_shared_passages(spark):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("aeiourst") for _ in range(rng.choice([1, 2, 4])))
+    text = lambda n: [word() for _ in range(n)]
+    passages = [text(n) for n in (49, 50, 51, 55, 60, 130)]
+    rows = []
+    for i in range(40):
+        w = text(rng.randrange(0, 200))
+        for p in rng.sample(passages, rng.randrange(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = p
+        rows.append((i, " ".join(w)))
+    own = text(60)
+    rows += [(100, " ".join(own + ["x"] + own)), (101, "la " * 300), (102, "la " * 120 + "LA, la!"), (103, None), (104, ""), (None, " ".join(passages[3])), (105, " ".join(passages[5][10:90])), rows[3], rows[3], (106, "\n".join(x.upper() + "." for x in passages[2]))]
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    assert collections.Counter((r.doc_id, r.n_shared_words) for r in got) == brute_shared(rows, suffix_dedup.WORDS)
+    assert all(r.shared_passage == (r.n_shared_words > 0) for r in got)
+    assert brute_repeats(rows, 400) == collections.Counter(tuple(r)[:5] for r in got)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_repeats_in_larger_texts(spark, monkeypatch, most):
+    """Several megabytes, by hashing all windows, with and without the broadcast of ids."""
+    monkeypatch.setattr(_graph, "PICKED", most)
+    rng = random.Random(42)
+    block = ["".join(rng.choice("abcdefghij ") for _ in range(rng.choice([150, 390, 399, 400, 401, 700, 3000]))) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(block) if rng.random() < 0.3 else "".join(rng.choices("abcdefghijklmnop ", k=rng.randrange(1, 2500))) for _ in range(rng.randrange(1, 12)))) for i in range(300)]
+    rows.append((1000, "".join(rng.choices("abcdefghijkl ", k=5_000_000)) + block[3] * 2))
+    got = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+    data = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    digests = [[hash(t[p : p + 400]) for p in range(max(0, len(t) - 399))] for _, t in rows]
+    seen, again = set(), set()
+    for d in digests:
+        for x in d:
+            (again if x in seen else seen).add(x)
+    for r, (_, t), b, d in zip(sorted(got, key=lambda r: r.doc_id), rows, data, digests):
+        change = np.zeros(len(b) + 1, np.int64)
+        for p, x in enumerate(d):
+            if x in again:
+                change[p] += 1
+                change[p + 400] -= 1
+        gone = np.cumsum(change[:-1]) > 0
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(b), int(gone.sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest())
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
