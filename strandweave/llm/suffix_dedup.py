@@ -253,22 +253,26 @@ def _windows(docs: DataFrame, words: bool, length: int) -> DataFrame:
 
 
 def _settle(units: DataFrame, across: bool) -> tuple[DataFrame, DataFrame]:
-    """(repeated, open): units whose ctx occurs again, and those that a finer look must compare.
+    """(repeated, open): tables of the units whose ctx occurs again, and of those that a finer look must compare.
 
-    A unit whose core occurs once is unique.  One whose core occurs again but
-    not its ctx is open, and so are two units for each repeated ctx of that core.
-    With `across`, occurrences in one text count once.
+    A unit whose core occurs once is unique, and only the others are looked at
+    again.  One whose core occurs again but not its ctx is open, and so is one
+    unit for each repeated ctx of that core.  With `across`, occurrences in one
+    text count once, and units of two texts are open for each repeated ctx.
     """
-    place = F.struct("rid", "start")
-    again = (lambda lo, hi: F.col(f"{lo}.rid") < F.col(f"{hi}.rid")) if across else (lambda lo, hi: F.col(lo) < F.col(hi))
-    kinds = units.groupBy("core", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count(F.lit(1)).alias("c"))
-    kinds = kinds.withColumn("again", again("lo", "hi") if across else F.col("c") > 1)
-    cores = kinds.groupBy("core").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.sum("c").alias("total"), F.max(~F.col("again")).alias("alone"))
-    cores = cores.where(again("low", "high") if across else F.col("total") > 1)
-    kinds = kinds.join(cores, "core").select("core", "ctx", "again", "lo", "hi", "alone")
-    known = units.join(kinds, ["core", "ctx"])
-    repeated = known.where("again").select("rid", "start", "n")
-    open_ = known.where(~F.col("again") | (F.col("alone") & ((F.col("lo") == place) | (F.col("hi") == place)))).select("rid", "start", "n")
+    many = [F.count(F.lit(1)).alias("c"), *([F.min("rid").alias("r0"), F.max("rid").alias("r1")] if across else [])]
+    again, mark = "r0 < r1" if across else "c > 1", F.xxhash64("rid", "start")
+    cores = units.groupBy("core").agg(*many, F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where(again)
+    held = cut(units.join(cores.select("core", (F.col("c0") == F.col("c1")).alias("same")), "core"))
+    rest = held.where("not same").drop("same")
+    kinds = rest.groupBy("core", "ctx").agg(*many, F.min(mark).alias("pick")).withColumn("again", F.expr(again))
+    alone = kinds.groupBy("core").agg(F.max(~F.col("again")).alias("alone"))
+    known = cut(rest.join(kinds.join(alone, "core"), ["core", "ctx"]))
+    place = ["rid", "start", "n"]
+    repeated = cut(held.where("same").select(*place).unionByName(known.where("again").select(*place)))
+    picked = (F.col("rid") == F.col("r0")) | (F.col("rid") == F.col("r1")) if across else F.col("pick") == mark
+    open_ = cut(known.where(~F.col("again") | (F.col("alone") & picked)).select(*place))
+    forget(held, known, units)
     return repeated, open_
 
 
@@ -288,17 +292,12 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     of words, and must occur in another text.
     """
     src = _keyed(docs, key, text)
-    units = cut(_runs(src, words, length, gram))
-    full, open_ = _settle(units, words)
-    full = cut(full)
+    full, open_ = _settle(cut(_runs(src, words, length, gram)), words)
     near = cut(_with_lists(src, open_.groupBy("rid").agg(F.collect_set("start").alias("want"))))
-    forget(units)
-    units = cut(_cells(near, words, length, gram, cell))
-    more, open_ = _settle(units, words)
-    more = cut(more)
+    more, open_ = _settle(cut(_cells(near, words, length, gram, cell)), words)
     fine = cut(near.select("rid", "_text").join(cut(open_.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("want"))), "rid"))
-    forget(units, near)
-    last = cut(_settle(cut(_windows(fine, words, length)), words)[0])
+    forget(near)
+    last, _ = _settle(cut(_windows(fine, words, length)), words)
     forget(fine)
     return full.unionByName(more).unionByName(last)
 
