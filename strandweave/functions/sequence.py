@@ -23,6 +23,18 @@ def mismatches(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda z: z))
 
 
+def within(a: Column, b: Column, limit: int) -> Column:
+    """Whether two strings of equal length differ in at most `limit` places: edit distance, which is never larger, is asked first."""
+    if limit <= 0:
+        return a == b
+    return F.when(F.levenshtein(a, b, limit) >= 0, mismatches(a, b) <= limit).otherwise(False)
+
+
+def part_bounds(size: int, limit: int) -> list[tuple[int, int]]:
+    """Start and end of limit + 1 parts, one of which any place with at most `limit` mismatches leaves alone."""
+    return [(size * i // (limit + 1), size * (i + 1) // (limit + 1)) for i in range(limit + 1)]
+
+
 def phred(quality: Column) -> Column:
     """Phred scores of a quality string (offset 33)."""
     return F.transform(F.filter(F.split(quality, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)

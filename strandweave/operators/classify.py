@@ -98,3 +98,21 @@ def match_buckets(found: DataFrame, reads: DataFrame, read: str = "read_id") ->
 def organism_counts(found: DataFrame, read: str = "read_id") -> DataFrame:
     """(organism, n_reads): a read counts for every organism that it matches."""
     return found.select(read, "organism").distinct().groupBy("organism").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+def lowest_common(found: DataFrame, reads: DataFrame, taxonomy: DataFrame, read: str = "read_id") -> DataFrame:
+    """(read, label, depth, most_specific): the taxon that all organisms found for a read have in common, by (organism, path).
+
+    `path` is the array of taxa from the root to the organism.  What all paths
+    of a read share is what its smallest and its largest path share, so two
+    aggregates that combine map-side do.  most_specific is the last taxon of the
+    deepest path (ties: the first) if all others are on it, else null.
+    """
+    paths = found.select(read, "organism").distinct().join(taxonomy.select("organism", "path"), "organism")
+    deepest = F.min(F.struct((-F.size("path")).alias("d"), "path"))["path"]
+    by = paths.groupBy(read).agg(F.min("path").alias("lo"), F.max("path").alias("hi"), deepest.alias("deep"))
+    common = F.size(F.filter(F.sequence(F.lit(1), F.least(F.size("lo"), F.size("hi"))), lambda i: F.slice("lo", F.lit(1), i) == F.slice("hi", F.lit(1), i)))
+    by = by.withColumn("depth", F.when(F.least(F.size("lo"), F.size("hi")) > 0, common).otherwise(0))
+    chain = by.join(paths.select(F.col(read).alias("_r"), F.col("path").alias("p")), F.col(read) == F.col("_r")).groupBy(read).agg(F.min(F.slice("deep", F.lit(1), F.size("p")) == F.col("p")).alias("one"))
+    by = by.join(chain, read).select(read, "depth", F.when(F.col("depth") > 0, F.element_at("lo", F.greatest("depth", F.lit(1)))).alias("l"), F.when(F.col("one"), F.element_at("deep", -1)).alias("most_specific"))
+    return _every(reads, by, read, F.col("l")).select(read, "label", F.coalesce("depth", F.lit(0)).alias("depth"), "most_specific")

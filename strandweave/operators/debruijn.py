@@ -1,13 +1,15 @@
-"""De Bruijn graphs as edge tables, unitigs by pointer jumping, Eulerian walks per component."""
+"""De Bruijn graphs as edge tables, unitigs by pointer jumping, Eulerian walks over contracted components."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components, stored
 from .kmers import kmers
+from .metrics import assembly_metrics
 
 
 def edges(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -73,59 +75,98 @@ def _ring_positions(ring: DataFrame) -> DataFrame:
     return ring.groupBy("head").applyInPandas(walk, "kmer string, head string, pos long")
 
 
-def euler_walks(e: DataFrame) -> DataFrame:
-    """(component, walk, seq): edge-covering walks of each weak component, in a fixed order.
+def euler_trails(edges_: list[tuple[str, str]]) -> list[list[int]]:
+    """Trails (lists of edge numbers) that together use every edge of a weakly connected multigraph once; as few as possible.
 
-    A component whose degrees allow an Eulerian path gives one walk; otherwise
-    walks start at each node with edges to spare, so no two neighbours in a walk
-    lack an edge.  The walk is sequential by nature: one component is one group.
+    Nodes with more edges in than out are tied to those with more out than in by
+    extra edges, so that one closed walk uses every edge; it is cut at the extras.
     """
-    label = components(e.select("src", "dst"))
-    own = e.join(label.select(F.col("node").alias("src"), F.col("label").alias("component")), "src")
+    spare: dict[str, int] = {}
+    for s, d in edges_:
+        spare[s] = spare.get(s, 0) + 1
+        spare[d] = spare.get(d, 0) - 1
+    ends = [n for n in sorted(spare) for _ in range(max(0, -spare[n]))]
+    starts = [n for n in sorted(spare) for _ in range(max(0, spare[n]))]
+    tied = edges_ + list(zip(ends, starts))
+    out: dict[str, list[int]] = {}
+    for i in sorted(range(len(tied)), key=lambda i: (tied[i], i), reverse=True):
+        out.setdefault(tied[i][0], []).append(i)
+    # Each stack entry is a node and the edge by which it was reached; edges are emitted on the way back.
+    stack, closed = [(starts[0] if starts else min(spare), -1)], []
+    while stack:
+        node, by = stack[-1]
+        if out.get(node):
+            i = out[node].pop()
+            stack.append((tied[i][1], i))
+        else:
+            closed.append(by)
+            stack.pop()
+    closed = [i for i in reversed(closed) if i >= 0]
+    cuts = [k for k, i in enumerate(closed) if i >= len(edges_)]
+    if not cuts:
+        return [closed] if closed else []
+    turned = closed[cuts[0] + 1 :] + closed[: cuts[0]]
+    trails: list[list[int]] = [[]]
+    for i in turned:
+        if i >= len(edges_):
+            trails.append([])
+        else:
+            trails[-1].append(i)
+    return [t for t in trails if t]
+
+
+def euler_walks(e: DataFrame, k: int) -> DataFrame:
+    """(component, walk, seq): walks of each weak component that together use every edge exactly once, as few as possible.
+
+    Paths without a branch are contracted first by joins; the walk itself is
+    sequential by nature, so one component's contracted graph is one group.
+    """
+    whole = unitigs(e, k).select("seq", F.expr(f"substring(seq, 1, {k - 1})").alias("src"), F.right("seq", F.lit(k - 1)).alias("dst"))
+    whole = stored(whole)
+    label = components(whole.select("src", "dst"))
+    own = whole.join(label.select(F.col("node").alias("src"), F.col("label").alias("component")), "src")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list[str]] = {}
-        spare: dict[str, int] = {}
-        for s, d in sorted(zip(pdf.src, pdf.dst), reverse=True):
-            out.setdefault(s, []).append(d)
-            spare[s] = spare.get(s, 0) + 1
-            spare[d] = spare.get(d, 0) - 1
-        rows = []
-        starts = [n for n in sorted(spare) for _ in range(max(0, spare[n]))]
-        pending = starts + sorted(spare)
-        for start in pending:
-            if not out.get(start):
-                continue
-            stack, path = [start], []
-            while stack:
-                if out.get(stack[-1]):
-                    stack.append(out[stack[-1]].pop())
-                else:
-                    path.append(stack.pop())
-            path.reverse()
-            # A dead end met on the way splits the path where an edge is missing.
-            piece = [path[0]]
-            edge_set = set(zip(pdf.src, pdf.dst))
-            for a, b in zip(path, path[1:]):
-                if (a, b) in edge_set:
-                    piece.append(b)
-                else:
-                    rows.append(piece)
-                    piece = [b]
-            rows.append(piece)
-        rows = [r for r in rows if len(r) > 1]
-        return pd.DataFrame({"component": [pdf.component.iloc[0]] * len(rows), "walk": range(len(rows)), "seq": [r[0] + "".join(n[-1] for n in r[1:]) for r in rows]})
+        pdf = pdf.sort_values("seq")
+        seqs = pdf.seq.tolist()
+        trails = euler_trails(list(zip(pdf.src, pdf.dst)))
+        texts = [seqs[t[0]] + "".join(seqs[i][k - 1 :] for i in t[1:]) for t in trails]
+        return pd.DataFrame({"component": [pdf.component.iloc[0]] * len(texts), "walk": range(len(texts)), "seq": texts})
 
     return own.groupBy("component").applyInPandas(walk, "component string, walk long, seq string")
 
 
-def gfa_lines(e: DataFrame, k: int) -> DataFrame:
-    """(line) of a GFA 1.0 file: a header, a segment for each node, a link of k - 2 bases for each edge, with its count."""
+def walk_coverage(walks: DataFrame, e: DataFrame, k: int) -> DataFrame:
+    """(n_edges, n_once): the graph's edges, and those that exactly one place of one walk uses."""
+    used = kmers(walks.select("seq"), k, "seq", skip_n=False).groupBy("kmer").agg(F.count(F.lit(1)).alias("times"))
+    return e.select("kmer").join(used, "kmer", "full_outer").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("times") == 1).alias("n_once"))
+
+
+def assemble(reads: DataFrame, k: int, seq: str = "seq") -> dict[str, DataFrame]:
+    """Graph, contigs (contig, seq, n_edges, coverage; longest first), their metrics and GFA lines, in that order of steps."""
+    graph = stored(edges(reads, k, seq))
+    found = unitigs(graph, k)
+    rank = Window.orderBy(F.desc(F.length("seq")), "seq")
+    contigs = stored(found.select(F.row_number().over(rank).cast("long").alias("contig"), "seq", "n_edges", "coverage"))
+    paths = kmers(contigs.select("contig", "seq"), k - 1, skip_n=False).select(F.concat(F.lit("contig_"), F.col("contig").cast("string")).alias("path"), F.col("pos").alias("ord"), F.col("kmer").alias("node"))
+    return {"edges": graph, "contigs": contigs, "metrics": assembly_metrics(contigs), "gfa": gfa_lines(graph, k, paths)}
+
+
+def gfa_lines(e: DataFrame, k: int, paths: DataFrame | None = None) -> DataFrame:
+    """(line) of a GFA 1.0 file: a header, a segment for each node, a link of k - 2 bases for each edge, with its count.
+
+    With (path, ord, node), also a line for each path that names its segments in order.
+    """
     spark = e.sparkSession
     head = spark.createDataFrame([("H\tVN:Z:1.0",)], "line string")
     nodes = degrees(e).select(F.concat(F.lit("S\t"), "node", F.lit("\t"), "node").alias("line"))
     links = e.select(F.concat(F.lit("L\t"), "src", F.lit("\t+\t"), "dst", F.lit(f"\t+\t{k - 2}M\tRC:i:"), F.col("cnt").cast("string")).alias("line"))
-    return head.unionByName(nodes).unionByName(links)
+    lines = head.unionByName(nodes).unionByName(links)
+    if paths is None:
+        return lines
+    by = paths.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("ord", "node"))).alias("x"))
+    named = F.array_join(F.transform("x", lambda s: F.concat(s["node"], F.lit("+"))), ",")
+    return lines.unionByName(by.select(F.concat(F.lit("P\t"), F.col("path").cast("string"), F.lit("\t"), named, F.lit("\t*")).alias("line")))
 
 
 def path_sequences(paths: DataFrame) -> DataFrame:

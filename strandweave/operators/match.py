@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import CHUNK, mismatches, windows
+from ..functions.sequence import CHUNK, mismatches, part_bounds, windows, within
 from .kmers import chunks, kmers, kmers_of_lengths
 
 
-def _positions(seqs: DataFrame, seq: str, size: int, extra: int = 0) -> DataFrame:
-    """Every 0-based `start` at which `size` bases fit, with `_piece`: those bases and up to `extra` more."""
+def _positions(seqs: DataFrame, seq: str, size: int, extra: int = 0, some_of: tuple[str, ...] = ()) -> DataFrame:
+    """Every 0-based `start` at which `size` bases fit, with `_piece`: those bases and up to `extra` more.
+
+    Stretches that hold none of the texts `some_of` are dropped before positions are made.
+    """
     cut = chunks(seqs.withColumn("_n", F.length(seq)), seq, overlap=size + extra - 1, start="_chunk")
+    if all(some_of) and some_of:
+        cut = cut.where(reduce(Column.__or__, [F.col(seq).contains(p) for p in sorted(set(some_of))]))
     out = cut.withColumn("_i", F.explode(windows(F.col(seq), size))).where(F.col("_i") <= CHUNK)
     out = out.withColumn("_piece", F.expr(f"substring({seq}, _i, {size + extra})")).withColumn("start", (F.col("_chunk") + F.col("_i") - 1).cast("long"))
     return out.drop(seq, "_chunk", "_i")
@@ -23,7 +30,7 @@ def exact_matches(seqs: DataFrame, pattern: str, seq: str = "seq") -> DataFrame:
     if not p:
         return seqs.drop(seq).limit(0).withColumns({"start": F.lit(0).cast("long"), "end": F.lit(0).cast("long")})
     hit = seqs.withColumn(seq, F.upper(seq)).where(F.col(seq).contains(p))
-    out = _positions(hit, seq, len(p)).where(F.col("_piece") == p)
+    out = _positions(hit, seq, len(p), some_of=(p,)).where(F.col("_piece") == p)
     return out.withColumn("end", F.col("start") + len(p)).drop("_piece", "_n")
 
 
@@ -37,25 +44,49 @@ def inexact_matches(seqs: DataFrame, pattern: str, limit: int = 1, compat: bool
     p = pattern.upper()
     m = len(p)
     up = seqs.withColumn(seq, F.upper(seq))
-    whole = _positions(up, seq, m, 1 if compat else 0)
-    here = F.substring("_piece", 1, m)
-    same = whole.withColumn("mismatches", mismatches(here, F.lit(p))).withColumn("end", F.col("start") + m)
-    outs = [same]
+    texts = (p, p[:-1]) if compat else (p,)
+    parts = tuple(t[a:b] for t in texts for a, b in part_bounds(len(t), limit))
+    whole = _positions(up, seq, m, 1 if compat else 0, parts)
+
+    def near(at: DataFrame, first: int, text: str, longer: int) -> DataFrame:
+        # One of limit + 1 parts is equal: a plain comparison discards nearly all places before mismatches are counted.
+        bounds = part_bounds(len(text), limit)
+        if all(a < b for a, b in bounds):
+            at = at.where(reduce(Column.__or__, [F.substring("_piece", first + a, b - a) == text[a:b] for a, b in bounds]))
+        here = F.substring("_piece", first, len(text))
+        return at.withColumn("mismatches", mismatches(here, F.lit(text))).withColumn("end", F.col("start") + (m + longer)).where(F.col("mismatches") <= limit)
+
+    out = near(whole, 1, p, 0)
     if compat:
-        short = whole.where(F.col("start") < F.col("_n") - m).withColumn("mismatches", mismatches(F.substring("_piece", 1, m - 1), F.lit(p[:-1]))).withColumn("end", F.col("start") + (m - 1))
-        shifted = whole.where(F.col("start") < F.col("_n") - m - 1).withColumn("mismatches", mismatches(F.substring("_piece", 2, m), F.lit(p))).withColumn("end", F.col("start") + (m + 1))
-        outs += [short, shifted]
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.where(F.col("mismatches") <= limit).drop("_piece", "_n")
-
-
-def occurrence_counts(seqs: DataFrame, patterns: DataFrame, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(pattern, n): overlapping occurrences of each pattern in all sequences; patterns of one length are one equi-join."""
-    sizes = sorted(r[0] for r in patterns.select(F.length("pattern")).where("pattern <> ''").distinct().collect())  # one number per length
-    found = kmers_of_lengths(seqs.select(seq), sizes, seq).join(patterns.select(F.col("pattern").alias("kmer")).distinct(), "kmer")
-    n = found.groupBy(F.col("kmer").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(near(whole.where(F.col("start") < F.col("_n") - m), 1, p[:-1], -1))
+        out = out.unionByName(near(whole.where(F.col("start") < F.col("_n") - m - 1), 2, p, 1))
+    return out.drop("_piece", "_n")
+
+
+def search_assembly(seqs: DataFrame, pattern: str, limit: int = 1, compat: bool = False, key: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """(kind, key, start, end, mismatches): exact and inexact matches of a pattern in one plan; exact ones have 0 mismatches."""
+    base = seqs.select(key, seq)
+    exact = exact_matches(base, pattern, seq).select(F.lit("exact").alias("kind"), key, "start", "end", F.lit(0).alias("mismatches"))
+    near = inexact_matches(base, pattern, limit, compat, seq).select(F.lit("inexact").alias("kind"), key, "start", "end", "mismatches")
+    return exact.unionByName(near)
+
+
+def occurrence_counts(seqs: DataFrame, patterns: DataFrame, key: str = "seq_id", seq: str = "seq", seed: int = 16) -> DataFrame:
+    """(pattern, n): overlapping occurrences of each pattern in all sequences.
+
+    Patterns of `seed` letters or more are found by an equi-join on their first
+    letters and compared there; shorter ones by one equi-join for each length.
+    """
+    some = patterns.select("pattern").where("pattern <> ''").distinct()
+    short, long = some.where(F.length("pattern") < seed), some.where(F.length("pattern") >= seed)
+    sizes = sorted(r[0] for r in short.select(F.length("pattern")).distinct().collect())  # below the seed's length
+    found = kmers_of_lengths(seqs.select(seq), sizes, seq).join(short.select(F.col("pattern").alias("kmer")), "kmer").select(F.col("kmer").alias("pattern"))
+    starts = long.select("pattern", F.expr(f"substring(pattern, 1, {seed})").alias("kmer"))
+    hit = kmers(seqs.select(F.col(key).alias("_key"), F.col(seq).alias("seq")), seed, "seq", skip_n=False).join(starts, "kmer").select("_key", "pattern", "pos")
+    whole = hit.where(F.length("pattern") > seed).join(seqs.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")), "_key")
+    whole = whole.where(F.expr("substring(_seq, pos + 1, length(pattern))") == F.col("pattern")).select("pattern")
+    found = found.unionByName(hit.where(F.length("pattern") == seed).select("pattern")).unionByName(whole)
+    n = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return patterns.select("pattern").distinct().join(n, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -84,7 +115,7 @@ def read_matches(reads: DataFrame, genomes: DataFrame, limit: int = 0, seed: int
     found = kmers(genomes.select(genome, seq), w, seq, skip_n=False).join(seeds, "kmer").select(genome, read, "_read", (F.col("pos") - F.col("_at")).alias("_start")).where("_start >= 0").distinct()
     both = found.join(genomes.select(genome, "organism", F.col(seq).alias("_genome")), genome)
     here = F.expr("substring(_genome, _start + 1, length(_read))")
-    near = here == F.col("_read") if limit == 0 else (F.length(here) == F.length("_read")) & (mismatches(here, F.col("_read")) <= limit)
+    near = here == F.col("_read") if limit == 0 else (F.length(here) == F.length("_read")) & within(here, F.col("_read"), limit)
     return both.where(near).select(read, genome, "organism").distinct()
 
 

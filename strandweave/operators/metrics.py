@@ -59,7 +59,7 @@ def contig_report(contigs: DataFrame, seq: str = "seq", least: int = 500, steps:
     kept = sized.where(F.col("length") >= least)
     a = sized.agg(*cells)
     b = kept.agg(F.round(100.0 * F.try_divide(F.sum("gc"), F.sum("length")), 6).alias("GC (%)"), F.round(100000.0 * F.try_divide(F.sum("ns"), F.sum("length")), 6).alias("N's per 100 kbp"))
-    c = length_metrics(kept).select(*[F.col(x).cast("double").alias(x.upper() if x[0] in "nl" and x != "num_contigs" else x) for x in ("num_contigs", "largest_contig", "n50", "n90", "l50", "l90")])
+    c = length_metrics(kept).select(*[F.col(x).cast("double").alias(x.upper() if x[1:] in ("50", "90") else x) for x in ("num_contigs", "largest_contig", "n50", "n90", "l50", "l90")])
     wide = a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))  # one row each
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in wide.columns])).alias("x")).select("x.metric", "x.value")
 

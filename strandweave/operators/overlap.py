@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import mismatches
-from .components import components
+from .components import components, stored
 from .kmers import kmers, kmers_of_lengths
+from .metrics import assembly_metrics
+from .minimizers import sketch
 
 #: Short sequences that are broadcast at most.
 FEW = 1 << 16
@@ -20,24 +22,32 @@ def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str
     """(read) of reads that are a strictly shorter part of another read.
 
     A contained read's first bases occur in its container: an equi-join on that
-    seed finds candidates, the whole read is compared there.  Empty reads lie in
-    any other that is not empty.
+    seed finds candidates, those that do not fit by length go, and the whole read
+    is compared there.  Reads shorter than a seed begin a k-mer of their container
+    or its last bases: both are made distinct first and then cut to each length.
+    Empty reads lie in any other that is not empty.
     """
     some = reads.where(F.length(seq) > 0)
     own = some.select(F.col(read).alias("a"), F.col(seq).alias("sa"))
     long = own.where(F.length("sa") >= seed)
-    places = kmers(some.select(F.col(read).alias("b"), F.col(seq).alias("seq")), seed, "seq", skip_n=False)
-    found = places.join(long.select("a", F.length("sa").alias("la"), F.expr(f"substring(sa, 1, {seed})").alias("kmer")), "kmer").select("a", "b", "pos")
-    both = found.join(long, "a").join(some.select(F.col(read).alias("b"), F.col(seq).alias("sb")), "b")
-    inside = both.where((F.length("sa") < F.length("sb")) & (F.expr("substring(sb, pos + 1, length(sa))") == F.col("sa"))).select("a")
-    # Reads shorter than a seed are k-mers themselves; only longer reads can contain them.
+    wide = some.where(F.length(seq) >= seed).select(F.col(read).alias("b"), F.length(seq).alias("lb"), F.col(seq).alias("seq"))
+    places = kmers(wide, seed, "seq", skip_n=False)
+    starts = long.select("a", F.length("sa").alias("la"), F.expr(f"substring(sa, 1, {seed})").alias("kmer"))
+    found = places.join(starts, "kmer").where("la < lb and pos + la <= lb").select("a", "b", "pos")
+    both = found.join(long, "a").join(wide.select("b", F.col("seq").alias("sb")), "b")
+    inside = both.where(F.expr("substring(sb, pos + 1, length(sa))") == F.col("sa")).select("a")
     short = own.where(F.length("sa") < seed)
     sizes = sorted(r[0] for r in short.select(F.length("sa")).distinct().collect())  # below the seed's length
     names = short.select(F.col("sa").alias("kmer")).distinct()
     if names.limit(FEW + 1).count() <= FEW:  # else both sides are shuffled
         names = F.broadcast(names)
-    pieces = kmers_of_lengths(some.select(F.length(seq).alias("n"), F.col(seq).alias("seq")), sizes).where(F.col("n") > F.length("kmer"))
-    inner = pieces.join(names, "kmer", "left_semi").select("kmer").distinct()
+    tail = wide.select(F.expr(f"substring(seq, lb - {seed} + 2, {seed - 1})").alias("t"))
+    tails = tail.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(seed - 1)), lambda i: F.substring(F.col("t"), i, F.lit(seed)))).alias("kmer")) if seed > 1 else tail.select(F.col("t").alias("kmer"))
+    pieces = places.select("kmer").unionByName(tails).distinct().withColumnRenamed("kmer", "piece")
+    pieces = pieces.select("piece", F.explode(F.array(*map(F.lit, sizes or [1]))).alias("k")).where(F.length("piece") >= F.col("k")).select(F.expr("substring(piece, 1, k)").alias("kmer"))
+    # Of reads that are short themselves, all parts but the whole.
+    parts = kmers_of_lengths(short.select(F.length("sa").alias("n"), F.col("sa").alias("seq")), sizes).where(F.col("n") > F.length("kmer")).select("kmer")
+    inner = pieces.join(names, "kmer", "left_semi").unionByName(parts.join(names, "kmer", "left_semi")).distinct()
     tiny = short.join(inner, F.col("sa") == F.col("kmer"), "left_semi").select("a")
     empty = reads.where(F.length(seq) == 0).select(F.col(read).alias("a"))
     if some.limit(1).count() == 0:
@@ -80,7 +90,8 @@ def greedy_paths(edges: DataFrame) -> DataFrame:
     """(path, ord, read_id): walks along the heaviest edges to reads not yet used, of two reads or more.
 
     Starts are reads without an incoming edge, or, where a component has none,
-    those with one at most; heaviest first, ties to the smaller id.  The walk is
+    those with one at most, by id; each step takes the heaviest edge, ties to the
+    smaller id.  The walk is
     sequential, so each weak component is one group.
     """
     label = components(edges.select("src", "dst")).select(F.col("node").alias("src"), F.col("label").alias("component"))
@@ -133,6 +144,21 @@ def consensus(called: DataFrame) -> DataFrame:
     return by.select("path", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N"))), "").alias("seq"))
 
 
+def assemble(reads: DataFrame, k: int = 15, size: int = 100, least_jaccard: float = 0.1, least: int = 20, identity: float = 0.9, read: str = "read_id", seq: str = "seq", err: str | None = None) -> dict[str, DataFrame]:
+    """Overlap, layout and consensus of reads: contained reads, overlap edges, paths, contigs (path, seq) and their metrics.
+
+    `err` names the reads' error probabilities per base; without it every base weighs the same.
+    """
+    held = reads.select(read, seq, (F.col(err) if err else F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: F.lit(0.0))).alias("err"))
+    inside = stored(contained(held.select(read, seq), read=read, seq=seq))
+    pairs = candidate_pairs(sketch(held.select(read, seq), k, size, read, seq), inside, least_jaccard, read)
+    graph = stored(overlap_edges(best_overlaps(pairs, held, least, read, seq), identity))
+    paths = stored(greedy_paths(graph))
+    placed = layout(paths.withColumnRenamed("read_id", read), graph, held, read, seq)
+    contigs = stored(consensus(consensus_bases(placed, held, read, seq)))
+    return {"contained": inside, "edges": graph, "paths": paths, "contigs": contigs, "metrics": assembly_metrics(contigs)}
+
+
 def ward_linkage(points: pd.DataFrame) -> pd.DataFrame:
     """Merge table of Ward's method by the Lance-Williams update; columns left, right, height, size."""
     x = np.array(points["vec"].tolist(), float)

@@ -143,3 +143,11 @@ def species_percentages(rows: DataFrame, species: dict[str, str], sample: str =
     hit = x.join(F.broadcast(names), F.lower("name").contains(F.lower("needle"))).groupBy(sample, "label").agg(F.max_by("pct", "line_no").alias("pct"))
     every = rows.select(sample).distinct().crossJoin(F.broadcast(names.select("label").distinct()))  # labels are a parameter
     return every.join(hit, [sample, "label"], "left").select(sample, "label", F.coalesce("pct", F.lit(0.0)).alias("pct"))
+
+
+def require_samples(rows: DataFrame, sample: str = "sample", least: int = 2) -> DataFrame:
+    """rows unchanged; fewer than `least` samples raise an error, as no comparison is then possible."""
+    n = rows.select(sample).distinct().limit(least).count()
+    if n < least:
+        raise ValueError(f"{n} samples; at least {least} are needed")
+    return rows

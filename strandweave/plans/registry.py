@@ -272,10 +272,15 @@ def _(spark, d):
     return P.inexact_matches(genomes(spark, d).select("seq_id", "seq"), _LONG, 1, compat=True).select("seq_id", "start", "end", "mismatches")
 
 
-@query("p6_count", f"WITH {_GENOMES}, p AS (SELECT DISTINCT substr({_SEQ}, 1, 6) AS pattern FROM benchmark WHERE length({_SEQ}) >= 6), k AS (SELECT substr(seq, i, 6) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS i FROM genomes)) SELECT pattern, count(kmer) AS n FROM p LEFT JOIN k ON kmer = pattern GROUP BY 1")
+@query("p6_count", f"WITH {_GENOMES}, p AS (SELECT DISTINCT {_SEQ} AS pattern FROM benchmark), k AS (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM genomes), h AS (SELECT pattern, count(*) AS n FROM p JOIN k ON substr(k.seq, i, length(pattern)) = pattern WHERE pattern <> '' GROUP BY 1) SELECT pattern, coalesce(n, 0) AS n FROM p LEFT JOIN h USING (pattern)")
 def _(spark, d):
-    patterns = reads(spark, d).where(F.length("seq") >= 6).select(F.expr("substring(seq, 1, 6)").alias("pattern")).distinct()
-    return P.occurrence_counts(genomes(spark, d), patterns)
+    return P.occurrence_counts(genomes(spark, d), reads(spark, d).select(F.col("seq").alias("pattern")))
+
+
+@query("p5_assembly", f"""WITH {_LPOS} SELECT 'exact' AS kind, seq_id, s AS start, s + 10 AS "end", 0 AS mismatches FROM pos WHERE substr(seq, s + 1, 10) = '{_LONG}'
+UNION ALL SELECT * FROM (SELECT 'inexact', seq_id, s, s + 10, CAST(hamming(substr(seq, s + 1, 10), '{_LONG}') AS INTEGER) AS m FROM pos) WHERE m <= 1""")
+def _(spark, d):
+    return P.search_assembly(genomes(spark, d), _LONG, 1)
 
 
 _NEAR = f"{_GENOMES}, {_READS}, near AS (SELECT DISTINCT read_id, seq_id, organism FROM (SELECT seq_id, organism, seq AS g, unnest(range(0, length(seq))) AS s FROM genomes) JOIN reads r ON length(r.seq) > 0 AND s + length(r.seq) <= length(g) AND CASE WHEN length(substr(g, s + 1, length(r.seq))) = length(r.seq) THEN hamming(substr(g, s + 1, length(r.seq)), r.seq) ELSE 99 END <= 1)"
@@ -315,6 +320,16 @@ def _(spark, d):
     return C.first_organism(P.seed_hits(r, genomes(spark, d), 14), r, spark.createDataFrame(PRIORITY, "organism string, priority int"))
 
 
+@query("c13_lowest_common", f"""WITH {_WMER}, t(organism, family) AS (VALUES ('en', 'germanic'), ('de', 'germanic'), ('fr', 'romance'), ('es', 'romance')),
+x AS (SELECT read_id, count(*) AS n, count(DISTINCT family) AS f, min(organism) AS one, min(family) AS fam FROM hit JOIN t USING (organism) GROUP BY 1)
+SELECT read_id, CASE WHEN n = 1 THEN one WHEN f = 1 THEN fam WHEN n > 1 THEN 'root' ELSE 'unclassified' END AS label, CAST(CASE WHEN n = 1 THEN 3 WHEN f = 1 THEN 2 WHEN n > 1 THEN 1 ELSE 0 END AS INTEGER) AS depth, CASE WHEN n = 1 THEN one END AS most_specific FROM reads LEFT JOIN x USING (read_id)""")
+def _(spark, d):
+    r = reads(spark, d)
+    families = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}
+    taxonomy = spark.createDataFrame([(o, ["root", f, o]) for o, f in families.items()], "organism string, path array<string>")
+    return C.lowest_common(P.seed_hits(r, genomes(spark, d), 14), r, taxonomy)
+
+
 # --- de Bruijn graphs -----------------------------------------------------------------------------------------
 _EDGES = ",\n".join([_READS, _kmers_sql("rk", "reads", "read_id", KMER, False), f"e AS (SELECT kmer, substr(kmer, 1, {KMER - 1}) AS src, substr(kmer, 2) AS dst, substr(kmer, {KMER}, 1) AS base, count(*) AS cnt FROM rk GROUP BY 1)", "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1)"])
 
@@ -340,7 +355,12 @@ def _(spark, d):
 
 @query("d4_euler")
 def _(spark, d):
-    return D.euler_walks(_edges(spark, d))
+    return D.euler_walks(_edges(spark, d), KMER)
+
+
+@query("d4_euler_cover", f"WITH {_EDGES} SELECT count(*) AS n_edges, count(*) AS n_once FROM e")
+def _(spark, d):
+    return D.walk_coverage(D.euler_walks(_edges(spark, d), KMER), _edges(spark, d), KMER)
 
 
 @query("d5_contigs", "WITH p AS (SELECT item_id AS path, " + _SEQ + " AS seq FROM benchmark) SELECT path, seq FROM p WHERE length(seq) >= 11")
@@ -356,21 +376,40 @@ def _(spark, d):
     return E.assembly_metrics(genomes(spark, d), by=["organism"])
 
 
-@query("d8_gfa", f"WITH {_EDGES} SELECT concat('H', chr(9), 'VN:Z:1.0') AS line UNION ALL SELECT concat('S', chr(9), node, chr(9), node) FROM deg UNION ALL SELECT concat('L', chr(9), src, chr(9), '+', chr(9), dst, chr(9), '+', chr(9), '{KMER - 2}M', chr(9), 'RC:i:', cnt) FROM e")
+@query("d8_gfa", f"WITH {_EDGES} SELECT concat('H', chr(9), 'VN:Z:1.0') AS line UNION ALL SELECT concat('S', chr(9), node, chr(9), node) FROM deg UNION ALL SELECT concat('L', chr(9), src, chr(9), '+', chr(9), dst, chr(9), '+', chr(9), '{KMER - 2}M', chr(9), 'RC:i:', cnt) FROM e UNION ALL SELECT concat('P', chr(9), path, chr(9), string_agg(node || '+', ',' ORDER BY i), chr(9), '*') FROM (SELECT path, i, substr(seq, i, {KMER - 1}) AS node FROM (SELECT read_id AS path, seq, unnest(range(1, length(seq) - {KMER - 1} + 2)) AS i FROM reads)) GROUP BY path")
 def _(spark, d):
-    return D.gfa_lines(_edges(spark, d), KMER)
+    paths = K.kmers(reads(spark, d), KMER - 1, skip_n=False).select(F.col("read_id").alias("path"), F.col("pos").alias("ord"), F.col("kmer").alias("node"))
+    return D.gfa_lines(_edges(spark, d), KMER, paths)
 
 
-@query("d9_unitigs", f"""WITH RECURSIVE {_EDGES}, mid AS (SELECT node FROM deg WHERE n_in = 1 AND n_out = 1),
+_UNITIGS = f"""{_EDGES}, mid AS (SELECT node FROM deg WHERE n_in = 1 AND n_out = 1),
 walk AS (SELECT kmer AS head, kmer, dst, kmer AS seq, cnt AS total, 1 AS n FROM e WHERE src NOT IN (SELECT node FROM mid)
-UNION ALL SELECT walk.head, e.kmer, e.dst, walk.seq || e.base, walk.total + e.cnt, walk.n + 1 FROM walk JOIN e ON e.src = walk.dst WHERE walk.dst IN (SELECT node FROM mid))
-SELECT seq, n AS n_edges, round(total / n, 6) AS coverage FROM (SELECT head, arg_max(seq, n) AS seq, CAST(max(n) AS BIGINT) AS n, arg_max(total, n) AS total FROM walk GROUP BY head)""")
+UNION ALL SELECT walk.head, e.kmer, e.dst, walk.seq || e.base, walk.total + e.cnt, walk.n + 1 FROM walk JOIN e ON e.src = walk.dst WHERE walk.dst IN (SELECT node FROM mid)),
+unitigs AS (SELECT seq, n AS n_edges, round(total / n, 6) AS coverage FROM (SELECT head, arg_max(seq, n) AS seq, CAST(max(n) AS BIGINT) AS n, arg_max(total, n) AS total FROM walk GROUP BY head))"""
+
+
+@query("d9_unitigs", f"WITH RECURSIVE {_UNITIGS} SELECT * FROM unitigs")
 def _(spark, d):
     return D.unitigs(_edges(spark, d), KMER)
 
 
+_METRICS = """l AS (SELECT len, gc, sum(len) OVER (ORDER BY len DESC ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY len DESC) AS r, sum(len) OVER () AS total FROM sized),
+met AS (SELECT CAST(max(total) AS BIGINT) AS total_length, count(*) AS num_contigs, max(len) AS largest_contig, max(len) FILTER (upto >= 0.5 * total) AS n50, max(len) FILTER (upto >= 0.9 * total) AS n90, min(r) FILTER (upto >= 0.5 * total) AS l50, min(r) FILTER (upto >= 0.9 * total) AS l90, round(100.0 * sum(gc) / sum(len), 6) AS gc_content FROM l)"""
+
+
+@query("d7_assemble", f"WITH RECURSIVE {_UNITIGS}, sized AS (SELECT length(seq) AS len, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc FROM unitigs), {_METRICS} SELECT * FROM met")
+def _(spark, d):
+    return D.assemble(reads(spark, d), KMER)["metrics"]
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------
-@query("e1_contig_report")
+_REPORTED = "big AS (SELECT * FROM genomes WHERE length(seq) >= 500), sized AS (SELECT length(seq) AS len, length(regexp_replace(seq, '[^GC]', '', 'g')) AS gc FROM big)"
+_CELLS = [f"SELECT 'contigs (>= {x})' AS metric, CAST(count(*) AS DOUBLE) AS value FROM genomes WHERE length(seq) >= {x} UNION ALL SELECT 'total length (>= {x})', CAST(coalesce(sum(length(seq)), 0) AS DOUBLE) FROM genomes WHERE length(seq) >= {x}" for x in (0, 500, 1000)]
+_CELLS += [f"SELECT '{name}', CAST({col} AS DOUBLE) FROM met" for name, col in (("GC (%)", "gc_content"), ("num_contigs", "nullif(num_contigs, 0)"), ("largest_contig", "largest_contig"), ("N50", "n50"), ("N90", "n90"), ("L50", "l50"), ("L90", "l90"))]
+_CELLS += ["SELECT 'N''s per 100 kbp', CAST(CASE WHEN count(*) > 0 THEN 0.0 END AS DOUBLE) FROM big"]
+
+
+@query("e1_contig_report", f"WITH {_GENOMES}, {_REPORTED}, {_METRICS} " + " UNION ALL ".join(_CELLS))
 def _(spark, d):
     return E.contig_report(genomes(spark, d))
 
@@ -420,6 +459,18 @@ def _(spark, d):
     return O.overlap_stats(O.overlap_edges(_overlaps(spark, d), 0.6))
 
 
+@query("g_components", f"WITH RECURSIVE {_OVER}, both_ways AS (SELECT src, dst FROM oe UNION SELECT dst, src FROM oe), reach(node, label) AS (SELECT src, src FROM both_ways UNION SELECT b.dst, reach.label FROM reach JOIN both_ways b ON b.src = reach.node) SELECT node, min(label) AS label FROM reach GROUP BY 1")
+def _(spark, d):
+    from ..operators.components import components
+
+    return components(O.overlap_edges(_overlaps(spark, d), 0.6))
+
+
+@query("o11_assemble")
+def _(spark, d):
+    return O.assemble(phred_reads(spark, d), 4, 100, 0.1, 8, 0.6, err="err")["contigs"]
+
+
 @query("o7_paths")
 def _(spark, d):
     return O.greedy_paths(O.overlap_edges(_overlaps(spark, d), 0.6))

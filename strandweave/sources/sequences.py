@@ -11,10 +11,12 @@ import gzip
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.sequence import error_probability
 
@@ -104,11 +106,34 @@ def whole_records(fasta: DataFrame) -> DataFrame:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(path, record_idx, read_id, seq, quality, qual, err): Phred scores (offset 33) and error probabilities."""
-    raw = _read(spark, path, _FASTQ, parse_fastq)
+    return _scored(_read(spark, path, _FASTQ, parse_fastq))
+
+
+def _scored(raw: DataFrame) -> DataFrame:
     scores = F.transform(F.filter(F.split("quality", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
     return raw.withColumn("qual", scores).withColumn("err", F.transform("qual", error_probability))
 
 
+def read_fastq_batch(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """The n records of each file from number `start` on, as read_fastq gives them; the next batch starts at start + n.
+
+    Parsing stops with the last record asked for, so a run can be resumed at any batch.
+    """
+    raw = _read(spark, path, _FASTQ, lambda s: islice(parse_fastq(s), start, start + n))
+    return _scored(raw)
+
+
+def with_global_index(records: DataFrame) -> DataFrame:
+    """records with `read_idx`: their number over all files, in order of path and place in the file.
+
+    Only one count per file is ordered; no record leaves its partition.
+    """
+    sizes = records.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return records.join(first, "path").withColumn("read_idx", F.col("_first") + F.col("record_idx")).drop("_first")
+
+
 def count_records(spark: SparkSession, path: str) -> int:
     """Header lines of FASTA files."""
     return spark.read.text(path).where(F.col("value").startswith(">")).count()

@@ -78,7 +78,7 @@ def test_unitigs_rebuild_a_sequence_without_repeats(spark):
     reads = [(i, s[i : i + 80]) for i in range(0, 521, 20)]
     e = debruijn.edges(spark.createDataFrame(reads, "read_id long, seq string"), 21)
     assert [r.seq for r in debruijn.unitigs(e, 21).collect()] == [s]
-    assert [r.seq for r in debruijn.euler_walks(e).collect()] == [s]
+    assert [r.seq for r in debruijn.euler_walks(e, 21).collect()] == [s]
 
 
 def test_unitigs_of_a_cycle(spark):
@@ -174,3 +174,127 @@ def test_stream_labels_equal_batch(spark, tmp_path):
     q = classify_stream.start(classify_stream.read_stream(spark, str(tmp_path / "in")), index, 3, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.read_id: r.label for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: "x", 1: "y", 2: "unclassified"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_euler_walks_use_every_edge_once(spark, seed):
+    rng = random.Random(seed)
+    reads = [(i, dna(rng, rng.choice([4, 9, 30, 60]))) for i in range(6)] + [(90, "ACACACACAC"), (91, "TTTTTTT")]
+    e = debruijn.edges(spark.createDataFrame(reads, "read_id long, seq string"), 4)
+    walks = [r.seq for r in debruijn.euler_walks(e, 4).collect()]
+    used = sorted(w[p : p + 4] for w in walks for p in range(len(w) - 3))
+    assert used == sorted(r.kmer for r in e.collect())
+    degree = {}
+    for x in used:
+        degree[x[:3]] = degree.get(x[:3], 0) + 1
+        degree[x[1:]] = degree.get(x[1:], 0) - 1
+    weak = components(e.select("src", "dst")).select("label").distinct().count()
+    assert weak <= len(walks) <= weak + sum(d for d in degree.values() if d > 0)
+
+
+def test_trails_are_as_few_as_possible():
+    rng = random.Random(8)
+    for _ in range(200):
+        edges = [(rng.choice("abcd"), rng.choice("abcd")) for _ in range(rng.randrange(1, 12))]
+        near = {n: n for x in edges for n in x}
+        for _ in near:
+            for s, d in edges:
+                near[s] = near[d] = min(near[s], near[d])
+        edges = [x for x in edges if near[x[0]] == min(near.values())]
+        trails = debruijn.euler_trails(edges)
+        assert sorted(i for t in trails for i in t) == list(range(len(edges)))
+        assert all(edges[i][1] == edges[j][0] for t in trails for i, j in zip(t, t[1:]))
+        spare = sum(max(0, sum(s == n for s, _ in edges) - sum(d == n for _, d in edges)) for n in near)
+        assert len(trails) == max(1, spare)
+
+
+def test_assemblies_rebuild_a_sequence(spark):
+    rng = random.Random(6)
+    s = dna(rng, 300)
+    reads = spark.createDataFrame([(i, s[i : i + 60]) for i in range(0, 241, 20)], "read_id long, seq string")
+    got = debruijn.assemble(reads, 21)
+    assert [r.seq for r in got["contigs"].collect()] == [s] and got["metrics"].first().n50 == 300
+    paths = [r.line for r in got["gfa"].collect() if r.line.startswith("P")]
+    assert paths == ["P\tcontig_1\t" + ",".join(s[p : p + 20] + "+" for p in range(281)) + "\t*"]
+    both = overlap.assemble(reads, 15, 100, 0.1, 20, 0.95)
+    assert [r.seq for r in both["contigs"].collect()] == [s] and both["contained"].count() == 0 and both["metrics"].first().total_length == 300
+
+
+def test_contained_reads_equal_model(spark):
+    rng = random.Random(9)
+    long = [dna(rng, n) for n in (40, 40, 90, 16, 17, 15, 200)]
+    rows = long + [x[a : a + n] for x in long for a, n in ((0, 1), (3, 9), (20, 15), (len(x) - 5, 5), (1, len(x) - 1), (len(x) - 18, 18))] + [long[0], "ACGTACGTACGTACC", "G" * 8]
+    rows = [(i, x) for i, x in enumerate(rows) if x]
+    got = {r.read_id for r in overlap.contained(spark.createDataFrame(rows, "read_id long, seq string")).collect()}
+    assert got == {i for i, a in rows if any(a in b and len(a) < len(b) for _, b in rows)}
+
+
+def test_long_patterns_equal_model(spark, seqs):
+    rng = random.Random(12)
+    p = dna(rng, 60)
+    ham = lambda a, b: sum(x != y for x, y in zip(a, b))
+    rows = [(i, s[:700]) for i, s in seqs]
+    for i in range(30):
+        q = list(p)
+        for _ in range(i % 5):
+            q[rng.randrange(60)] = rng.choice("ACGT")
+        rows.append((100 + i, dna(rng, 480 + i) + "".join(q) + dna(rng, i % 4)))
+    df = spark.createDataFrame(rows, "seq_id long, seq string")
+    for limit in (0, 1, 3):
+        near = {(r.seq_id, r.start, r.mismatches) for r in match.inexact_matches(df, p, limit).collect()}
+        assert near == {(i, a, ham(s[a : a + 60], p)) for i, s in rows for a in range(len(s) - 59) if ham(s[a : a + 60], p) <= limit}
+    both = match.search_assembly(df, p, 1).groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in both}["exact"] <= {r["kind"]: r["count"] for r in both}["inexact"]
+    counts = {r.pattern: r.n for r in match.occurrence_counts(df, spark.createDataFrame([(p,), (p[:16],), (p[:5],), ("",), ("G" * 40,)], "pattern string")).collect()}
+    assert counts == {x: sum(s.startswith(x, a) for _, s in rows for a in range(len(s))) if x else 0 for x in (p, p[:16], p[:5], "", "G" * 40)}
+
+
+def test_lowest_common_taxa(spark):
+    found = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "a"), (3, "c"), (4, "g"), (4, "a"), (5, "zz")], "read_id long, organism string")
+    taxonomy = spark.createDataFrame([("a", ["r", "g", "a"]), ("b", ["r", "g", "b"]), ("c", ["r", "h", "c"]), ("g", ["r", "g"])], "organism string, path array<string>")
+    reads = spark.createDataFrame([(i, "A") for i in range(1, 7)], "read_id long, seq string")
+    got = {r.read_id: (r.label, r.depth, r.most_specific) for r in classify.lowest_common(found, reads, taxonomy).collect()}
+    assert got == {1: ("a", 3, "a"), 2: ("g", 2, None), 3: ("r", 1, None), 4: ("g", 2, "a"), 5: ("unclassified", 0, None), 6: ("unclassified", 0, None)}
+
+
+def test_reports_as_lines(spark):
+    labelled = spark.createDataFrame([(1, "x"), (2, "x"), (3, "ambiguous"), (4, "unclassified")], "read_id long, label string")
+    names = spark.createDataFrame([("x",), ("y",)], "organism string")
+    text = lambda df: [r.line for r in df.orderBy("line_no").collect()]
+    assert text(sinks.classification_lines(labelled, names)) == ["classification", "organism: x", "organism: y", "reads of x: 2", "reads of y: 0", "classified reads: 2", "ambiguous reads: 1", "unclassified reads: 1"]
+    buckets = spark.createDataFrame([("none", 1, 25.0), ("unique", 2, 50.0), ("multiple", 1, 25.0)], "bucket string, n long, pct double")
+    per = spark.createDataFrame([("y", 1), ("x", 3)], "organism string, n_reads long")
+    assert text(sinks.match_lines(buckets, per, seconds=1.5)) == ["matches", "seconds: 1.50", "reads: 4", "reads with unique match: 2 (50.00 %)", "reads with multiple match: 1 (25.00 %)", "reads with none match: 1 (25.00 %)", "x: 3 (75.00 %)", "y: 1 (25.00 %)"]
+    one = metrics.assembly_metrics(spark.createDataFrame([("ACGT",)], "seq string"))
+    assert text(sinks.metrics_lines(one))[:2] == ["assembly metrics", "total_length: 4"]
+    taxa = spark.createDataFrame([("s", "t", 1.0), ("u", "t", 2.0)], "sample string, taxon string, pct double")
+    groups = spark.createDataFrame([("s", "gut"), ("u", "water")], "sample string, sample_group string")
+    explained = spark.createDataFrame([(0.5, 0.25)], "explained1 double, explained2 double")
+    apart = spark.createDataFrame([("gut", True, True), ("water", True, True)], "sample_group string, clear boolean, strong boolean")
+    assert text(sinks.summary_lines(taxa, groups, explained, apart)) == ["# Summary", "## Samples", "samples: 2", "- **gut**: 1", "- **water**: 1", "taxa: 1", "## Components", "PC1 explains 50.00 %, PC2 25.00 % of the variance", "groups are clearly apart; the first component is strong"]
+    assert sinks.sample_types(spark, {"gut": ["a", "b"], "water": ["c"]}).count() == 3
+    profile.require_samples(taxa)
+    with pytest.raises(ValueError):
+        profile.require_samples(taxa.limit(1))
+
+
+def test_fastq_batches_and_archives(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    records = [f"@r{i} x\nACGT\n+\n@II{i % 10}\n" for i in range(25)]
+    (tmp_path / "a.fastq").write_text("".join(records[:20]))
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress("".join(records[20:]).encode()))
+    with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
+        z.writestr("one.fa", ">c1 first\nAC\nGT\n")
+        z.writestr("sub/two.fa", ">c2\nTTTT\n")
+    one = str(tmp_path / "a.fastq")
+    batches = [[r.read_id for r in sequences.read_fastq_batch(spark, one, at, 8).orderBy("record_idx").collect()] for at in (0, 8, 16, 24)]
+    assert [len(b) for b in batches] == [8, 8, 4, 0] and sum(batches, []) == [f"r{i}" for i in range(20)]
+    every = sequences.with_global_index(sequences.read_fastq(spark, str(tmp_path / "*.fastq*")))
+    assert sorted((r.read_idx, r.read_id) for r in every.collect()) == [(i, f"r{i}") for i in range(25)]
+    packed = sequences.read_fasta(spark, str(tmp_path / "g.zip"))
+    assert sorted((r.seq_id, r.seq) for r in packed.collect()) == [("c1", "ACGT"), ("c2", "TTTT")]
+    index = spark.createDataFrame([("ACG", "x", 2), ("CGT", "y", 1)], "kmer string, organism string, cnt long")
+    sinks.write_index(index, str(tmp_path / "index"))
+    assert sorted(map(tuple, sinks.read_index(spark, str(tmp_path / "index")).collect())) == sorted(map(tuple, index.collect()))

@@ -6,7 +6,6 @@ import pytest
 from strandweave.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"p7_has_match", "p9_hamming", "o1_contained"}
 
 
 @pytest.fixture(scope="module")
