@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it comes from fewer files than there are cores; larger tables are split by their files and stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+
+
 def genomes(spark: SparkSession, sf_dir: str, keep_n: bool = False) -> DataFrame:
     """(seq_id, organism, seq): a document's bases (with N if asked for); the organism is its language."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("organism"), dna(F.col("text"), keep_n).alias("seq"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return docs.select(F.col("doc_id").alias("seq_id"), F.col("lang").alias("organism"), dna(F.col("text"), keep_n).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
