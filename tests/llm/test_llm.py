@@ -306,7 +306,7 @@ def test_repeats_of_nothing(spark):
 
 # --- 5 --------------------------------------------------------------------------------------------------------
 def test_url_rules(spark):
-    urls = [None, "", "no scheme/x", "http://A.Org", "https://x.example.org/es/1", "http://example.org/es", "http://www.example.org/en/19?q#f", "http://example.org/en/2", "http://a.com/de/x", "http://com/fr/", "http://acom/de/", "http://b.net/casino", "http://b.net/casinos", "ftp://x.com/fr/?a", "http://x.com?/de/", "http://x.com/DE/", "a://b://c.org/", "http://www.cheap-pills.example.com/de/1", "http://www.cheap-pills.example.net/", "http://x.example.org.evil.net/es/"]
+    urls = [None, "", "no scheme/x", "http://A.Org", "https://x.example.org/es/1", "http://example.org/es", "http://www.example.org/en/19?q#f", "http://example.org/en/2", "http://a.com/de/x", "http://com/fr/", "http://acom/de/", "http://b.net/casino", "http://b.net/casinos", "ftp://x.com/fr/?a", "http://x.com?/de/", "http://x.com/DE/", "a://b://c.org/", "http://www.cheap-pills.example.com/de/1", "http://www.cheap-pills.example.net/", "http://x.example.org.evil.net/es/", "http://x.net/cheappills/", "http://x.net/Xcasino/", "http://x.net/a/xxxA", "http://x.net/casino\u212a", "http://x.net/x\ncasino"]
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
     got = {r.page_id: r for r in url_rules.filter_urls(spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")).collect()}
     for i, u in enumerate(urls):
@@ -321,8 +321,40 @@ def test_url_rules(spark):
 
 
 def test_rules_are_filed_under_their_rarest_token():
-    rules = (url_rules.Rule("block", "example.org", "/es/"), url_rules.Rule("block", "com", "/e"), url_rules.Rule("block", pattern="x+"))
-    assert url_rules.build_index(rules, {"example": 9, "org": 20, "es": 3, "com": 50}) == {"es": [0], "com": [1], "": [2]}
+    rules = (url_rules.Rule("block", "example.org", "/es/"), url_rules.Rule("block", "com", "/e"), url_rules.Rule("block", pattern="x+"), url_rules.Rule("block", pattern="/(ads|banner)/"))
+    assert url_rules.build_index(rules, {"example": 9, "org": 20, "es": 3, "com": 50}) == {"es": [0], "com": [1], "": [2], "ads": [3], "banner": [3]}
+
+
+def test_tokens_of_a_pattern_are_in_every_match():
+    of = url_rules.pattern_tokens
+    assert of(url_rules.CONTENT_RULES[0].pattern) == (("cheappills",), ("cheap", "pills"))
+    assert of(r"/ads/\d+\.gif$") == (("ads", "gif"),)
+    assert of(r"\bcasino\b") == (("casino",),)
+    for p in ("casino", "(?i)/casino/", "/cas.no/", "/(casino|x+)/", "/casino?", "[", "/a+/", "/[a-z]ads/", r"/\Qads\E/", "/ads[^a-z]"):
+        assert of(p) == (), p
+
+
+def test_long_rule_lists_equal_brute_force(spark):
+    rng = random.Random(51)
+    label = lambda n: f"h{rng.randrange(n)}"
+    hosts = [f"{label(40000)}.{rng.choice(['com', 'net', 'co.uk'])}" for _ in range(100_000)]
+    rules = tuple(dict.fromkeys(url_rules.Rule(rng.choice(["allow", "block"]), h, rng.choice(["/", "/a", "/a/b/", "/C/"])) for h in hosts)) + (url_rules.Rule("block", "com", "/zz/"),)
+    content = url_rules.CONTENT_RULES + (url_rules.Rule("block", pattern="q[0-9]q"), url_rules.Rule("allow", pattern="/(fine|good)/"))
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.'])}{rng.choice(hosts)}{rng.choice(['', '/', '/a', '/a/b/c', '/C/', '/c/', '/zz/', '/q7q', '/good/', '/casino', '/cheappills/'])}" for _ in range(3000)] + [None, "", "http://x.com/casino", "http://x.com/casino", "http://other.org/fine/q1q"]
+    by_host = collections.defaultdict(list)
+    for n, r in enumerate(rules):
+        by_host[r.host].append((n, r))
+    got = url_rules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, content).collect()
+    assert len(got) == len(urls)
+    few_ = url_rules.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (), content).collect()
+    assert {r.page_id: r.content_rule for r in few_} == {r.page_id: r.content_rule for r in got}
+    for r in got:
+        labels = r.host.split(".")
+        fit = [(-len(x.name), n, x) for k in range(len(labels)) for n, x in by_host.get(".".join(labels[k:]), []) if r.path.startswith(x.path)]
+        own = [(-len(x.name), n, x) for n, x in enumerate(content) if re.search(x.pattern, r.host + r.path)]
+        best = min(fit or own, default=None, key=lambda f: f[:2])
+        assert (r.rule, r.verdict) == (best[2].name if fit else None, best[2].action if best else "allow"), r
+        assert r.content_rule == (min(own, key=lambda f: f[:2])[2].name if own else None)
 
 
 # --- 6 --------------------------------------------------------------------------------------------------------
