@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, suffix_dedup, toxicity, url_rules
+from ._graph import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,49 +18,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text (null: empty) stored as a transport stream, read back and described."""
     return media_ts.text_media_digest(_table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document under 13-word benchmark windows, the items found and the verdict; null has no words."""
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each text (null: empty) under word frequencies and under the hidden Markov model."""
     return hmm.score_texts(_table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each text (null: empty) in 400-byte strings that start elsewhere too, what is left, and shared passages of 50 words."""
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of each page; null and odd urls have neither host nor path."""
     return url_rules.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "content_rule")
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count, group and whether it is kept, of each document; documents without words are groups of their own."""
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded bytes of each text (null: empty)."""
     return bpe.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the chain's categories and the verdict, of each document; null and empty texts are texts without words."""
     docs = _table(spark, sf_dir, "documents")
     chain = toxicity.train_chain(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), chain).drop("text")
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text without repeated or similar lines, and how many went; null stays null."""
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    """Shard and place of each document by the first version of a stored slot map, and the slot itself; law `bytes`."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = sharding.assign_shards(docs, sharding.plan_shards(docs, 8))
+    path = f"{shared_folder(spark)}/strandweave-slots-{uuid.uuid4().hex}"
+    sharding.plan_shards(docs, 8).save(spark, path)
+    out = sharding.assign_shards(docs, sharding.SlotMap.load(spark, path, 1))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 

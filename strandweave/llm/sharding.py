@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SLOTS = 4096
-_MAP = "virtual_slot int, shard int, slot_bytes long, slot_rows long, version int"
+_MAP = "virtual_slot int, shard int, slot_bytes long, slot_rows long, shards int"
+_ADDED = ("size", "text_crc32", "virtual_slot", "shard", "slot", "map_version")
 
 
 @dataclass
@@ -69,11 +70,11 @@ class SlotMap:
         return SlotMap(shard, self.bytes, self.rows, new + 1, self.slots, self.version + 1)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(s, k, self.bytes.get(s, 0), self.rows.get(s, 0), self.version) for s, k in sorted(self.shard.items())], _MAP)
+        return spark.createDataFrame([(s, k, self.bytes.get(s, 0), self.rows.get(s, 0), self.shards) for s, k in sorted(self.shard.items())], _MAP)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the map's table; older versions stay readable."""
-        self.frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={self.version}")
+        """Add this version to the map's table; older versions stay readable, and one that is there already is an error."""
+        self.frame(spark).coalesce(1).write.parquet(f"{path}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -81,8 +82,8 @@ class SlotMap:
         table = spark.read.parquet(path)
         if version is None:
             version = table.agg(F.max("version")).first()[0]
-        rows = table.where(F.col("version") == version).select("virtual_slot", "shard", "slot_bytes", "slot_rows").collect()
-        return cls({r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}, 1 + max((r[1] for r in rows), default=0), len(rows), version)
+        rows = table.where(F.col("version") == version).select("virtual_slot", "shard", "slot_bytes", "slot_rows", "shards").collect()
+        return cls({r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows if r[3]}, {r[0]: r[3] for r in rows if r[3]}, rows[0][4], len(rows), version)
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -125,6 +126,7 @@ def assign_shards(docs: DataFrame, slot_map: SlotMap, key: str = "doc_id", text:
         base[s] = at[slot_map.shard[s]]
         at[slot_map.shard[s]] += slot_map.rows.get(s, 0)
     places = spark.createDataFrame([(s, slot_map.shard[s], base[s], slot_map.version) for s in sorted(base)], "virtual_slot int, shard int, slot_base long, map_version int")
-    order = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    rows = sized(docs, key, text, slot_map.slots)
-    return rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("slot_base") + F.col("place")).drop("slot_base", "place")
+    order = Window.partitionBy("virtual_slot").orderBy(F.col("key").asc_nulls_first(), "text_crc32", "size")
+    rows = sized(docs.select(F.struct(*[c for c in docs.columns if c not in _ADDED]).alias("row"), F.col(key).alias("key"), F.col(text).alias("text")), "key", "text", slot_map.slots).drop("text")
+    out = rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(places), "virtual_slot").withColumn("slot", F.col("slot_base") + F.col("place"))
+    return out.select("row.*", *_ADDED)

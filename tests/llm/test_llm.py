@@ -659,6 +659,14 @@ def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     more.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")).shard == more.shard
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard == plan.shard
+    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 2) == more
+    with pytest.raises(Exception, match="(?i)exists"):
+        more.save(spark, str(tmp_path / "map"))
+    clash = docs.selectExpr("doc_id", "text", "'a' shard", "'b' slot", "'c' place", "'d' slot_base", "'e' key", "'f' row", "'g' version")
+    again = sharding.assign_shards(clash, plan)
+    assert again.columns == ["doc_id", "text", "place", "slot_base", "key", "row", "version", *sharding._ADDED]
+    mine = lambda rs: collections.Counter((r.doc_id, r.shard, r.slot, r.virtual_slot) for r in rs)
+    assert mine(again.collect()) == mine(got) and again.where("row = 'f' and key = 'e'").count() == len(rows)
     empty = frame(spark, [])
     assert sharding.assign_shards(empty, sharding.plan_shards(empty, 8)).count() == 0
 
