@@ -229,9 +229,10 @@ def token_digest(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     """key, kept columns, n_tokens and digests of the ids and of the bytes that decoding the ids gives.
 
     One row per input row; null and empty texts have no tokens and the digests
-    of no bytes.  One pass, no shuffle.
+    of no bytes.  Kept columns that clash with the added ones are replaced.  One
+    pass, no shuffle.
     """
-    names = [key, *keep]
+    names = [key, *[c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = _here(path, pattern)

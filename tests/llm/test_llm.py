@@ -452,6 +452,8 @@ def test_bpe_equals_the_library(spark, corpus, tokenizer):
     docs = frame(spark, list(enumerate(texts)))
     back = bpe.decode(bpe.encode(docs, path, pattern), path)
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    clash = bpe.token_digest(docs.withColumn("n_tokens", F.lit("x")), path, pattern, keep=("extra", "n_tokens"))
+    assert clash.columns == ["doc_id", "extra", "n_tokens", "ids_sha256", "decoded_sha256"] and dict(clash.dtypes)["n_tokens"] == "bigint"
     digest = {r.doc_id: r for r in bpe.token_digest(docs, path, pattern).collect()}
     for i, t in enumerate(texts):
         ids = np.array(library.encode_ordinary(t or ""), "<u4")
