@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._text import map_pieces
+from ._text import map_pieces, spread
 
 _NONE = np.int64(1) << np.int64(62)
 #: Cells of the trees worked on at once, and distinct words kept between pieces by one Python worker.
@@ -134,11 +134,6 @@ class Ranks:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (count[0] of them), then those of start[1], and so on."""
-    return np.repeat(start - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(int(count.sum()))
-
-
 class _Numbers(dict):
     """Numbers keys in the order in which they are first asked for."""
 
