@@ -4,7 +4,8 @@ A word's bytes are leaves of a binary tree; each live position holds the rank of
 the pair that it forms with its live right neighbour, and each inner node the
 leftmost smallest rank below it.  A merge reads the root, joins two neighbours
 and updates three leaves, each in a logarithmic number of steps.  The trees of
-many words are worked on side by side as rows of numpy arrays.
+many words are worked on side by side as rows of numpy arrays; few words of a
+width, as very long ones are, are worked on one by one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._text import map_pieces, spread
 _NONE = np.int64(1) << np.int64(62)
 #: Cells of the trees worked on at once, and distinct words kept between pieces by one Python worker.
 CELLS, KEPT_WORDS = 1 << 20, 300_000
+#: Words of one width that are worked on side by side at least; fewer are encoded one by one.
+SIDE_BY_SIDE = 16
 
 
 class Ranks:
@@ -41,6 +44,7 @@ class Ranks:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     pairs[a * self.base + b] = rank
+        self.pairs = pairs
         self.keys = np.array(sorted(pairs), np.int64)
         self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
 
@@ -105,6 +109,48 @@ class Ranks:
             tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
             width >>= 1
 
+    def _encode_one(self, raw: bytes) -> np.ndarray:
+        """Ids of one word of at least two bytes: the same tree in plain numbers, where an update ends at the first node that keeps its value."""
+        n, none, get, base = len(raw), int(_NONE), self.pairs.get, self.base
+        width = 1 << (n - 1).bit_length()
+        known = self.single[np.frombuffer(raw, np.uint8)]
+        whole = np.full(2 * width, _NONE)
+        first = self.pair_rank(known[:-1], known[1:])
+        whole[width : width + n - 1] = np.where(first < _NONE, first * width + np.arange(n - 1), _NONE)
+        step = width
+        while step > 1:
+            whole[step // 2 : step] = np.minimum(whole[step : 2 * step : 2], whole[step + 1 : 2 * step : 2])
+            step //= 2
+        after_, before_ = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tree, ids, nxt, prv = whole.data, known.data, after_.data, before_.data
+
+        def update(leaf: int, value: int) -> None:
+            node = leaf + width
+            tree[node] = value
+            while node > 1:
+                other, node = tree[node ^ 1], node >> 1
+                if other < value:
+                    value = other
+                if tree[node] == value:
+                    return
+                tree[node] = value
+
+        while tree[1] < none:
+            rank, pos = divmod(tree[1], width)
+            gone = nxt[pos]
+            after, before = nxt[gone], prv[pos]
+            ids[pos], ids[gone], nxt[pos] = rank, -1, after
+            right = None
+            if after < n:
+                prv[after] = pos
+                right = get(rank * base + ids[after])
+            update(gone, none)
+            update(pos, none if right is None else right * width + pos)
+            if before >= 0:
+                left = get(ids[before] * base + rank)
+                update(before, none if left is None else left * width + before)
+        return known[known >= 0]
+
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one's after another's, and their number for each.
 
@@ -117,6 +163,12 @@ class Ranks:
         done = []
         for w in np.unique(width[width > 0]).tolist():
             members, many = np.flatnonzero(width == w), max(1, CELLS // (4 * w))
+            if min(len(members), many) < SIDE_BY_SIDE:
+                for i in members.tolist():
+                    ids = self._encode_one(words[i])
+                    count[i] = len(ids)
+                    done.append((np.array([i]), ids, count[i : i + 1]))
+                continue
             for at in range(0, len(members), many):
                 part = members[at : at + many]
                 raw = np.frombuffer(b"".join([words[i].ljust(w, b"\0") for i in part.tolist()]), np.uint8).reshape(len(part), w)

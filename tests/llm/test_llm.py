@@ -131,6 +131,28 @@ def test_benchmark_in_blocks_gives_the_same(spark, corpus):
     assert (a.n_hit == b.n_hit).all() and a.items == b.items and (a.longest == b.longest).all()
 
 
+def test_windows_that_many_items_share():
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(13))
+    bench = [(i, f"{prose(rng, 9)} {shared} own{i}") for i in range(300)] + [(400, "two words"), (401, "two words"), (402, "Two, WORDS!")]
+    docs = [(i, f"d{i} {shared} end two words") for i in range(60)] + [(60, bench[7][1]), (61, shared[:-1]), (62, ""), (63, None)]
+    index = decontam.BenchmarkIndex.build([i for i, _ in bench], [t for _, t in bench])
+    texts = pa.array([t for _, t in docs], pa.string())
+    m, plain = decontam.match_shard(texts, [index]), decontam.match_shard(texts, [index], items=False)
+    want = {r[0]: r for r in brute_contamination(docs, bench)}
+    for i in range(len(docs)):
+        assert (m.n_words[i], m.n_hit[i], len(m.items[i])) == want[i][1:4] and plain.n_hit[i] == m.n_hit[i]
+    words = re.findall(r"[0-9a-z]+", bench[7][1])
+    assert (m.longest[60], m.longest_item[60], m.longest_at[60]) == (len(words), "7", 0)
+
+
+def test_equal_hashes_do_not_make_equal_windows(monkeypatch):
+    monkeypatch.setattr(decontam, "_symbols", lambda piece, start, end: np.ones(len(start), np.uint64))
+    index = decontam.BenchmarkIndex.build([1, 2, 3], ["red fox", "tan cat", "red fox"])
+    m = decontam.match_shard(pa.array(["a red fox", "tan cat", "tan fox", "tanc at"]), [index])
+    assert m.items == [{"1", "3"}, {"2"}, set(), set()] and m.n_hit.tolist() == [2, 2, 0, 0]
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 def test_forward_recursion_is_exact():
     m = hmm.Model.first(np.array([0.1, 0.2, 0.3, 0.4]), 3)
@@ -449,6 +471,10 @@ def test_bpe_equals_the_library(spark, corpus, tokenizer):
     for t, ids in zip(texts, enc.encode_batch(texts)):
         assert ids.tolist() == library.encode_ordinary(t or "")
         assert enc.ranks.decode(ids.tolist()) == (t or "").encode()
+    rng = random.Random(6)
+    for long in ("".join(rng.choices("abcdeghilnorstu", k=1 << 20)), "ab" * 100_000, "é" * 30_001):
+        (ids,) = enc.encode_batch([long])
+        assert ids.tolist() == library.encode_ordinary(long)
     docs = frame(spark, list(enumerate(texts)))
     back = bpe.decode(bpe.encode(docs, path, pattern), path)
     assert {r.doc_id: bytes(r.decoded) for r in back.collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
