@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._graph import components, cut
+from ._graph import components, cut, few
 from ._text import NOT_SPACE, Piece, map_pieces, mix
 
 WORDS, K, MISS = 5, 48, 1e-9
@@ -92,6 +92,17 @@ def sketches(docs: DataFrame, text: str, keep: list[str], k: int = K, words: int
     return map_pieces(docs.select(*keep, F.col(text).alias("_text")), "_text", run, schema)
 
 
+def part_nodes(df: DataFrame) -> DataFrame:
+    """df (node, check, ...) where sets with equal `node` but unequal `check` get nodes of their own, so that two digests tell sets apart."""
+    mixed = cut(df.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo < hi").select("node", F.lit(True).alias("mixed")))
+    if mixed.isEmpty():
+        return df
+    if few(mixed):
+        mixed = F.broadcast(mixed)
+    own = F.when(F.col("mixed"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+    return df.join(mixed, "node", "left").withColumn("node", own).select(*df.columns)
+
+
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, v = shingles(batch.column("_text"), words)
@@ -165,7 +176,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
     """
     need = required_overlap(percent, k)
     src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("text_key"))
-    all_ = cut(sketches(src.withColumnRenamed("_text", "t"), "t", ["_key", "text_key"], k, words))
+    all_ = part_nodes(cut(sketches(src.withColumnRenamed("_text", "t"), "t", ["_key", "text_key"], k, words)))
     reps = all_.where("n_shingles > 0").groupBy("node").agg(F.min("_key").alias("first_key"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
 
     # Inverted lists: each sketch's values by frequency; those found once only can match nothing.
