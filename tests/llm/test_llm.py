@@ -417,6 +417,12 @@ def test_near_duplicates(spark, corpus, percent):
     assert got.where("kept <> (doc_id <=> component_id)").count() == 0
 
 
+def test_sets_that_share_one_digest_are_told_apart(spark):
+    rows = [(1, 5, 50), (2, 5, 51), (3, 5, 50), (4, 6, 60), (5, 6, 60)]
+    got = {r.i: r.node for r in minhash.part_nodes(spark.createDataFrame(rows, "i long, node long, check long")).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == got[5] == 6
+
+
 def test_near_duplicates_link_through_chains(spark):
     rng = random.Random(8)
     w = prose(rng, 150, 10_000).split()
@@ -714,3 +720,69 @@ def test_pipeline_stages_read_what_was_written(spark, tmp_path, monkeypatch):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert all("documents.parquet" in f for f in seen[0]) and seen[1] and not any("documents.parquet" in f for f in seen[1] + out.inputFiles())
     assert sorted(map(tuple, out.collect())) == [(1, "a", "xyy"), (2, "b", "xyy")]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, tokenizer):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    line = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(30))
+    rows = []
+    for i in range(240):
+        body = [line() for _ in range(3)]
+        if i % 6 == 0:
+            body[1] += " idiot moron scum idiot moron"
+        rows.append((i, "\n".join(body)))
+    shared, again, item = line(), line().split() + line().split(), line()
+    rows[7] = (7, rows[7][1] + "\n" + shared)
+    rows[8] = (8, shared.upper() + "!\n" + rows[8][1])
+    rows[9] = (9, shared)  # loses its only line
+    rows += [(300, "\n".join(" ".join(again[k : k + 10]) for k in range(0, 60, 10))), (301, "\n".join(" ".join(again[k : k + 15]) for k in range(0, 60, 15)))]
+    rows += [(302, f"{line()} {item}"), (303, None), (304, ""), (305, "!!\n!!"), (None, line()), rows[10]]
+    docs = spark.createDataFrame([(i, t, f"lang{i}", 77, 78, 79) for i, t in rows], "doc_id long, text string, lang string, n_lines int, n_tokens int, toxic int")
+    marks = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    bench = [(1, item), (2, None)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def brute(name, rows):
+        if name == "toxicity":
+            return [(i, t) for i, t in rows if "idiot" not in (t or "")]
+        if name == "lines":
+            seen, out = {}, []
+            for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+                for k, l in enumerate((t or "").split("\n")):
+                    norm = re.sub("[^0-9a-z]+", " ", l.lower()).strip()
+                    seen.setdefault(norm or (i, k), (i, t, k))
+            for i, t in rows:
+                lines = (t or "").split("\n")
+                stay = [l for k, l in enumerate(lines) if seen[re.sub("[^0-9a-z]+", " ", l.lower()).strip() or (i, k)] == (i, t, k)]
+                if t is None or stay:
+                    out.append((i, None if t is None else "\n".join(stay)))
+            return out
+        if name == "near_duplicates":
+            name_of = {(i, t): c for (i, t), c in zip(rows, [None] * len(rows))}
+            sets = {r: shingle_set(r[1]) for r in name_of}
+            for r in name_of:
+                linked = [q[0] for q in name_of if sets[q] and sets[r] and 100 * len(sets[q] & sets[r]) >= 80 * len(sets[q] | sets[r]) and q[0] is not None]
+                name_of[r] = min(linked, default=r[0])
+            return [r for r in rows if name_of[r] == r[0]]
+        dirty = {r[0] for r in brute_contamination(rows, bench) if r[5]}
+        return [r for r in rows if r[0] not in dirty]
+
+    want, got = rows, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    sizes = [len(want)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = _graph.cut(stage(spark, got, str(tmp_path))), brute(name, want)
+        assert got.columns == docs.columns and got.where("n_lines <> 77 or n_tokens <> 78 or toxic <> 79").isEmpty()
+        assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter(want), name
+        sizes.append(len(want))
+    assert all(a > b for a, b in zip(sizes, sizes[1:]))
+    library = tokenizer[2]
+    for out in (corpus_pipeline.run(spark, str(tmp_path)), _graph.cut(corpus_pipeline.STAGES[-1][1](spark, got, str(tmp_path)))):
+        assert collections.Counter((r.doc_id, r.n_tokens) for r in out.collect()) == collections.Counter((i, len(library.encode_ordinary(t or ""))) for i, t in want)
+    empty = got.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = _graph.cut(stage(spark, empty, str(tmp_path)))
+        assert empty.isEmpty()
