@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, suffix_dedup, toxicity, url_rules
+from . import bpe, bpe_exact, decontam, hmm, lexical, line_dedup, media_ts, minhash, runs, sharding, suffix_dedup, toxicity, url_rules
 from ._graph import shared_folder
 
 
@@ -74,8 +74,23 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item, by integer scores over a stored table of postings; texts without terms are never found."""
+    return lexical.rank_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), 50)
+
+
+def op12_exact_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text of each text (null: empty); the added token in a text is that token."""
+    return bpe_exact.token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in each text (null: no words), the longest one, and the text without their repeats."""
+    return runs.run_digest(_table(spark, sf_dir, "documents"), planted=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op3_hidden_markov, op4_suffix_dedup, op5_url_filter, op6_minhash, op7_byte_bpe, op8_toxicity, op9_fuzzy_lines, op10_virtual_slots)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_decontamination, op3_hidden_markov, op4_suffix_dedup, op5_url_filter, op6_minhash, op7_byte_bpe, op8_toxicity, op9_fuzzy_lines, op10_virtual_slots, op11_lexical_search, op12_exact_bpe, op13_periodic_runs)}
 
 
 #: DuckDB SQL with the same rows, where SQL can express them.
@@ -129,5 +144,19 @@ e AS (SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_i
 r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id),
 c AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY 1)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN size USING (doc_id)
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, text, n, term, count(*) AS tf FROM (SELECT doc_id, text, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+m AS (
+  SELECT item_id, doc_id, text, CAST(sum(f.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id, text)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, text) AS INTEGER) AS rank, doc_id, score
+FROM m WHERE score > 0 QUALIFY rank <= 50
 """,
 }
