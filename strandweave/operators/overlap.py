@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.sequence import mismatches
@@ -91,34 +92,32 @@ def greedy_paths(edges: DataFrame) -> DataFrame:
 
     Starts are reads without an incoming edge, or, where a component has none,
     those with one at most, by id; each step takes the heaviest edge, ties to the
-    smaller id.  The walk is
-    sequential, so each weak component is one group.
+    smaller id.  `path` is the id of the first read; ids keep their type.  The
+    walk is sequential, so each weak component is one group.
     """
     label = components(edges.select("src", "dst")).select(F.col("node").alias("src"), F.col("label").alias("component"))
     own = edges.select("src", "dst", "weight").join(label, "src")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict = {}
-        n_in: dict = {}
-        for s, d, w in zip(pdf.src, pdf.dst, pdf.weight):
-            out.setdefault(s, []).append((-w, d))
-            n_in[d] = n_in.get(d, 0) + 1
-            n_in.setdefault(s, 0)
-        starts = sorted(n for n in n_in if n_in[n] == 0) or sorted(n for n in n_in if n_in[n] <= 1)
-        used, rows = set(), []
-        for start in starts:
-            if start in used:
-                continue
-            path = [start]
-            used.add(start)
-            while nxt := next((d for _, d in sorted(out.get(path[-1], [])) if d not in used), None):
-                path.append(nxt)
-                used.add(nxt)
+    ids = edges.schema["src"].dataType
+    schema = T.StructType([T.StructField("path", ids), T.StructField("ord", T.LongType()), T.StructField("read_id", ids)])
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        targets = part.sort_values(["weight", "dst"], ascending=[False, True]).groupby("src")["dst"].agg(list).to_dict()
+        incoming = part["dst"].value_counts().to_dict()
+        free = dict.fromkeys(sorted({*part["src"], *part["dst"]}))  # in order of ids
+        heads = [r for r in free if r not in incoming] or [r for r in free if incoming[r] == 1]
+        rows = []
+        for head in heads:
+            path = []
+            step = [head] if head in free else []
+            while step:
+                path.append(step[0])
+                del free[step[0]]
+                step = [r for r in targets.get(path[-1], ()) if r in free][:1]
             if len(path) > 1:
-                rows += [(start, i, r) for i, r in enumerate(path)]
-        return pd.DataFrame(rows, columns=["path", "ord", "read_id"]).astype("int64")
+                rows.extend((head, place, r) for place, r in enumerate(path))
+        return pd.DataFrame(rows, columns=schema.names)
 
-    return own.groupBy("component").applyInPandas(walk, "path long, ord long, read_id long")
+    return own.groupBy("component").applyInPandas(walk, schema)
 
 
 def layout(paths: DataFrame, edges: DataFrame, reads: DataFrame, read: str = "read_id", seq: str = "seq") -> DataFrame:

@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt to all cores if it comes from fewer files than there are cores; larger tables are split by their files and stay as read."""
+    """df dealt to all cores if its scan has fewer partitions than there are cores; larger tables stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def genomes(spark: SparkSession, sf_dir: str, keep_n: bool = False) -> DataFrame:
