@@ -63,6 +63,32 @@ def inexact_matches(seqs: DataFrame, pattern: str, limit: int = 1, compat: bool
     return out.drop("_piece", "_n")
 
 
+def edit_matches(seqs: DataFrame, pattern: str, limit: int = 1, best: bool = False, seq: str = "seq") -> DataFrame:
+    """(start, end, edits) of every window within `limit` substitutions, insertions and deletions of the pattern.
+
+    Windows have len(pattern) - limit to len(pattern) + limit bases; empty ones are none.  One of limit + 1
+    parts of the pattern lies in the window as it is, moved by `limit` places at
+    most: plain comparisons discard nearly all places before a banded edit distance
+    is counted.  With `best`, each start has one row: fewest edits, then the length nearest to
+    the pattern's, then the shorter.
+    """
+    p = pattern.upper()
+    m = len(p)
+    least = max(1, m - limit)
+    bounds = part_bounds(m, limit)
+    parts = tuple(p[a:b] for a, b in bounds)
+    at = _positions(seqs.withColumn(seq, F.upper(seq)), seq, least, m + limit - least, parts)
+    if all(parts):
+        moved = [F.substring("_piece", a + d + 1, b - a) == p[a:b] for a, b in bounds for d in range(-limit, limit + 1) if a + d >= 0]
+        at = at.where(reduce(Column.__or__, moved))
+    sizes = F.filter(F.sequence(F.lit(least), F.lit(m + limit)), lambda n: n <= F.length("_piece"))
+    ends = F.filter(F.transform(sizes, lambda n: F.struct(F.levenshtein(F.substring(F.col("_piece"), F.lit(1), n), F.lit(p), limit).alias("edits"), F.abs(n - m).alias("off"), n.alias("n"))), lambda x: x["edits"] >= 0)
+    if best:
+        ends = F.slice(F.array_sort(ends), 1, 1)
+    out = at.withColumn("_w", F.explode(ends))
+    return out.withColumn("end", F.col("start") + F.col("_w.n")).withColumn("edits", F.col("_w.edits")).drop("_piece", "_n", "_w")
+
+
 def search_assembly(seqs: DataFrame, pattern: str, limit: int = 1, compat: bool = False, key: str = "seq_id", seq: str = "seq") -> DataFrame:
     """(kind, key, start, end, mismatches): exact and inexact matches of a pattern in one plan; exact ones have 0 mismatches."""
     base = seqs.select(key, seq)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..operators import metrics as E
 from ..operators import minimizers as M
 from ..operators import overlap as O
 from ..operators import profile as T
+from ..operators.components import temporary_folder
+from ..operators.seed_index import SeedIndex
 from .tables import genomes, phred_reads, reads, report, table, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +309,33 @@ def _(spark, d):
     return P.read_matches(reads(spark, d), genomes(spark, d)).groupBy("read_id").agg(F.array_join(F.array_sort(F.collect_set("organism")), ",").alias("organisms"))
 
 
+@query("p13_edits", f"""WITH {_GENOMES}, w AS (SELECT seq_id, s, n, substr(seq, s + 1, n) AS piece FROM (SELECT seq_id, seq, s, unnest([9, 10, 11]) AS n FROM (SELECT seq_id, seq, unnest(range(0, length(seq))) AS s FROM genomes)) WHERE s + n <= length(seq))
+SELECT seq_id, s AS start, s + n AS "end", CAST(levenshtein(piece, '{_LONG}') AS INTEGER) AS edits FROM w WHERE levenshtein(piece, '{_LONG}') <= 1""")
+def _(spark, d):
+    return P.edit_matches(genomes(spark, d).select("seq_id", "seq"), _LONG, 1).select("seq_id", "start", "end", "edits")
+
+
+def _seed_index(spark: SparkSession, d: str, k: int) -> SeedIndex:
+    name = f"strandweave_{uuid.uuid4().hex}"
+    return SeedIndex.build(genomes(spark, d), k, name, folder=temporary_folder(spark, name))
+
+
+@query("p14_index_places", f"WITH {_GENOMES}, {_READS} SELECT read_id, seq_id, organism, CAST(s AS BIGINT) AS start, CAST(hamming(substr(g, s + 1, length(r.seq)), r.seq) AS INTEGER) AS mismatches FROM (SELECT seq_id, organism, seq AS g, unnest(range(0, length(seq))) AS s FROM genomes) JOIN reads r ON length(r.seq) > 0 AND s + length(r.seq) <= length(g) AND CASE WHEN length(substr(g, s + 1, length(r.seq))) = length(r.seq) THEN hamming(substr(g, s + 1, length(r.seq)), r.seq) ELSE 99 END <= 1")
+def _(spark, d):
+    return _seed_index(spark, d, 16).find(reads(spark, d), 1)
+
+
+_HALVES = "substr(r.seq, 1, length(r.seq) // 2) AS h1, substr(r.seq, length(r.seq) // 2 + 1) AS h2"
+_EDITED = f"""{_GENOMES}, {_READS}, r AS (SELECT read_id, seq, length(seq) AS n, {_HALVES} FROM reads r WHERE length(seq) > 0),
+near AS (SELECT read_id, r.seq, n, seq_id, organism, g, s FROM (SELECT seq_id, organism, seq AS g, unnest(range(0, length(seq))) AS s FROM genomes) JOIN r ON contains(substr(g, s + 1, n + 1), h1) OR contains(substr(g, s + 1, n + 1), h2)),
+w AS (SELECT read_id, seq_id, organism, s, n, k, levenshtein(substr(g, s + 1, k), seq) AS edits FROM (SELECT *, unnest([n - 1, n, n + 1]) AS k FROM near) WHERE k > 0 AND s + k <= length(g))"""
+
+
+@query("p15_index_edits", f"WITH {_EDITED} SELECT read_id, seq_id, organism, CAST(s AS BIGINT) AS start, CAST(s + k AS BIGINT) AS \"end\", CAST(edits AS INTEGER) AS edits FROM w WHERE edits <= 1 QUALIFY row_number() OVER (PARTITION BY read_id, seq_id, s ORDER BY edits, abs(k - n), k) = 1")
+def _(spark, d):
+    return _seed_index(spark, d, 16).find_edited(reads(spark, d), 1)
+
+
 _WMER = ",\n".join([_GENOMES, _READS, _kmers_sql("gw", "genomes", "organism", 14), _kmers_sql("rw", "reads", "read_id", 14), "hit AS (SELECT DISTINCT read_id, organism FROM rw JOIN gw USING (kmer))"])
 
 
