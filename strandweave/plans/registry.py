@@ -17,6 +17,7 @@ from ..operators import metrics as E
 from ..operators import minimizers as M
 from ..operators import overlap as O
 from ..operators import profile as T
+from ..operators import taxonomy as X
 from ..operators.components import temporary_folder
 from ..operators.seed_index import SeedIndex
 from .tables import genomes, phred_reads, reads, report, table, vectors
@@ -360,6 +361,42 @@ def _(spark, d):
     return C.lowest_common(P.seed_hits(r, genomes(spark, d), 14), r, taxonomy)
 
 
+FAMILIES = {"en": "germanic", "de": "germanic", "fr": "romance", "es": "romance"}
+_LCA = "CASE WHEN {a} = {b} THEN {a} WHEN split_part({a}, ';', 2) = split_part({b}, ';', 2) THEN 'root;' || split_part({a}, ';', 2) ELSE 'root' END"
+_TREE = ",\n".join([_MIN, """tree(organism, p) AS (VALUES ('en', 'root;germanic;en'), ('de', 'root;germanic;de'), ('fr', 'root;romance;fr'), ('es', 'root;romance;es')),
+tidx AS (SELECT minimizer, """ + _LCA.format(a="min(p)", b="max(p)") + """ AS node FROM midx JOIN tree USING (organism) GROUP BY 1),
+parts AS (SELECT read_id, count(*) AS n_parts FROM rm GROUP BY 1),
+votes AS (SELECT read_id, node, count(*) AS n FROM rm JOIN tidx USING (minimizer) GROUP BY 1, 2),
+scores AS (SELECT t.read_id, t.node, sum(h.n) AS score FROM votes t JOIN votes h ON t.read_id = h.read_id AND starts_with(t.node || ';', h.node || ';') GROUP BY 1, 2),
+chosen AS (SELECT read_id, """ + _LCA.format(a="min(node)", b="max(node)") + """ AS node FROM (SELECT *, max(score) OVER (PARTITION BY read_id) AS top FROM scores) WHERE score = top GROUP BY 1),
+ways AS (SELECT read_id, node, unnest(range(1, len(string_split(node, ';')) + 1)) AS depth FROM chosen),
+clades AS (SELECT w.read_id, w.depth, array_to_string(string_split(w.node, ';')[:w.depth], ';') AS taxon, sum(v.n) AS n FROM ways w JOIN votes v ON v.read_id = w.read_id AND starts_with(v.node || ';', array_to_string(string_split(w.node, ';')[:w.depth], ';') || ';') GROUP BY ALL),
+ends AS (SELECT read_id, max(depth) AS depth, arg_max(taxon, depth) AS taxon, arg_max(n, depth) AS n FROM clades JOIN parts USING (read_id) WHERE n >= {confidence} * n_parts GROUP BY 1),
+labelled AS (SELECT r.read_id, coalesce(string_split(e.taxon, ';')[-1], 'unclassified') AS label, coalesce(e.taxon, '') AS path, CAST(coalesce(e.depth, 0) AS INTEGER) AS depth, CAST(coalesce(h.n_hits, 0) AS BIGINT) AS n_hits, coalesce(n_parts, 0) AS n_parts, coalesce(round(e.n / n_parts, 6), 0.0) AS support FROM reads r LEFT JOIN ends e USING (read_id) LEFT JOIN parts USING (read_id) LEFT JOIN (SELECT read_id, sum(n) AS n_hits FROM votes GROUP BY 1) h USING (read_id))"""])
+
+
+def _taxa(spark: SparkSession, d: str, confidence: float) -> DataFrame:
+    taxonomy = spark.createDataFrame([(o, ["root", f, o]) for o, f in FAMILIES.items()], "organism string, path array<string>")
+    return X.classify_taxa(reads(spark, d), X.taxon_index(genomes(spark, d), taxonomy, KMER, WINDOW), KMER, WINDOW, confidence)
+
+
+def _register_taxa(name: str, confidence: float) -> None:
+    @query(name, f"WITH {_TREE.replace('{confidence}', str(confidence))} SELECT * FROM labelled")
+    def _(spark, d):
+        return _taxa(spark, d, confidence).withColumn("path", F.array_join("path", ";"))
+
+
+for _name, _confidence in (("c12_taxa", 0.0), ("c12_taxa_third", 0.34), ("c12_taxa_all", 1.0)):
+    _register_taxa(_name, _confidence)
+
+
+@query("c12_report", f"""WITH {_TREE.replace('{confidence}', '0.34')}, p AS (SELECT CASE WHEN depth > 0 THEN path ELSE 'unclassified' END AS path, depth FROM labelled),
+x AS (SELECT path, depth, unnest(range(1, greatest(depth, 1) + 1)) AS i FROM p)
+SELECT array_to_string(string_split(path, ';')[:i], ';') AS taxon, CAST(CASE WHEN depth > 0 THEN i ELSE 0 END AS INTEGER) AS depth, count(*) AS n_clade, count(*) FILTER (i = greatest(depth, 1)) AS n_own, round(100.0 * count(*) / (SELECT count(*) FROM labelled), 6) AS pct FROM x GROUP BY ALL""")
+def _(spark, d):
+    return X.taxon_report(_taxa(spark, d, 0.34))
+
+
 # --- de Bruijn graphs -----------------------------------------------------------------------------------------
 _EDGES = ",\n".join([_READS, _kmers_sql("rk", "reads", "read_id", KMER, False), f"e AS (SELECT kmer, substr(kmer, 1, {KMER - 1}) AS src, substr(kmer, 2) AS dst, substr(kmer, {KMER}, 1) AS base, count(*) AS cnt FROM rk GROUP BY 1)", "deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1)"])
 
