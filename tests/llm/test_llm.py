@@ -673,6 +673,67 @@ def test_lines_with_changed_letters_are_found(spark):
     assert got[-5:] == [True, True, True, True, False]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_dropped_lines_equal_groups_by_words_or_letters(spark):
+    """Groups of lines that are 80 % alike in words or in letters, over all pairs; nothing of the operator is used."""
+    rng = random.Random(31)
+    lines = []
+    for n in (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 18) * 3:
+        line = own_line(rng, n)
+        lines += [line, edited(rng, line, n // 6, 0), edited(rng, line, 0, (n + 2) // 4), own_line(rng, n)]
+    lines = list(dict.fromkeys(lines))
+    alike = lambda a, b: 5 * edit_distance(a, b) <= max(len(a), len(b))
+    group = {l: l for l in lines}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in itertools.combinations(lines, 2):
+        if abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and alike(a, b) or alike(a.split(), b.split()):
+            group[root(b)] = root(a)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(frame(spark, list(enumerate(lines)))).collect()}
+    first: dict = {}
+    want = {}
+    for i, l in enumerate(lines):
+        want[i] = int(root(l) in first)
+        first.setdefault(root(l), i)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_letters_changed_in_half_of_the_words(spark):
+    """Recall by number of words; it falls with the number of words, as the README says."""
+    rng = random.Random(5)
+    floor = {10: 0.8, 20: 0.2, 40: 0.2}
+    lines = [(n, own_line(rng, n)) for n in floor for _ in range(60)]
+    got = found(spark, [(l, edited(rng, l, 0, n // 2)) for n, l in lines])
+    for n, least in floor.items():
+        assert np.mean([g for g, l in zip(got, lines) if l[0] == n]) >= least, n
+
+
+def test_long_words_with_changed_letters(spark):
+    rng = random.Random(6)
+    pairs = []
+    for size in (330, 420, 510, 1000, 30_000):
+        for changed in (2, size // 10, size // 6) if size < 2000 else (2,):
+            w = [rng.choice("aeiourstlnmpbcdfg") for _ in range(size)]
+            v = list(w)
+            for i in rng.sample(range(size), changed):
+                v[i] = "x"
+            pairs.append(("".join(w), "".join(v)))
+    assert all(found(spark, pairs))
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 def test_shards_are_balanced_and_gapless(spark, corpus, tmp_path):
     rng = random.Random(13)
