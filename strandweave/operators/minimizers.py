@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import windows
-from .kmers import CHUNK, chunks, kmers
+from .kmers import CHUNK, chunks
+
+#: Bases of a piece that is sketched by itself.
+SKETCH_PIECE = 1 << 15
 
 
 def minimizers(df: DataFrame, k: int, w: int, seq: str = "seq") -> DataFrame:
@@ -30,9 +33,29 @@ def minimizer_index(genomes: DataFrame, k: int, w: int, organism: str = "organis
 
 
 def sketch(df: DataFrame, k: int, size: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(key, rank, hash): the `size` smallest hashes (first 8 hex digits of md5) of each sequence's distinct k-mers."""
-    hashed = kmers(df.select(key, seq), k, seq, skip_n=False).select(key, F.substring(F.md5("kmer"), 1, 8).alias("hash")).distinct()
-    return hashed.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("hash"))).where(F.col("rank") <= size)
+    """(key, rank, hash): the `size` smallest hashes (first 8 hex digits of md5) of each sequence's distinct k-mers.
+
+    Each piece of a sequence keeps its own `size` smallest hashes, and only these
+    are merged, so what travels is bounded by pieces and not by k-mers.
+    """
+    cut = chunks(df.select(key, seq), seq, SKETCH_PIECE, k - 1, "_start")
+    # Hashes are made stretch by stretch, as substring() walks a string from its start.
+    inside = lambda p: F.transform(windows(p, k), lambda i: F.substring(F.md5(F.substring(p, i, F.lit(k))), 1, 8))
+    parts = F.transform(F.sequence(F.lit(1), F.length(seq), F.lit(CHUNK)), lambda b: F.substring(F.col(seq), b, F.lit(CHUNK + k - 1)))
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(parts, inside)))), 1, size)
+    return merge_sketches(cut.select(key, F.explode(least).alias("hash")), size, key)
+
+
+def merge_sketches(hashes: DataFrame, size: int, key: str = "seq_id") -> DataFrame:
+    """(key, rank, hash): the sketch of the union of whatever (key, hash) rows were sketched apart, to the same size or a larger one."""
+    return hashes.select(key, "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("hash"))).where(F.col("rank") <= size).select(key, "rank", "hash")
+
+
+def distinct_estimate(sketches: DataFrame, size: int, key: str = "seq_id") -> DataFrame:
+    """(key, n_distinct): distinct k-mers, exact where a sketch is not full, else from its largest hash."""
+    by = sketches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("hash").alias("last"))
+    share = (F.conv("last", 16, 10).cast("double") + 1) / F.lit(2.0**32)
+    return by.select(key, F.when(F.col("n") < size, F.col("n").cast("double")).otherwise(F.round((size - 1) / share)).cast("long").alias("n_distinct"))
 
 
 def sketch_jaccard(sketches: DataFrame, key: str = "seq_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import dna
+from ..functions.sql import register_functions
 from ..operators import classify as C
 from ..operators import debruijn as D
 from ..operators import kmers as K
@@ -16,6 +17,7 @@ from ..operators import match as P
 from ..operators import metrics as E
 from ..operators import minimizers as M
 from ..operators import overlap as O
+from ..operators import packed as Q
 from ..operators import profile as T
 from ..operators import taxonomy as X
 from ..operators.components import temporary_folder
@@ -93,6 +95,11 @@ def _(spark, d):
     return _index(spark, d)
 
 
+@query("k2_packed", f"WITH {_INDEX} SELECT * FROM idx")
+def _(spark, d):
+    return Q.packed_index(genomes(spark, d), KMER).select(Q.unpack(F.col("code"), KMER).alias("kmer"), "organism", "cnt")
+
+
 _INDEX_N = _INDEX.replace("[^ACGT]", "[^ACGTN]")
 
 
@@ -159,6 +166,12 @@ def _(spark, d):
 _COUNTS = ",\n".join([_GENOMES, _kmers_sql("gk", "genomes", "organism", 8), "c AS (SELECT kmer, count(*) AS cnt FROM gk GROUP BY 1)"])
 
 
+@query("k10_merged", f"WITH {_SKETCH.replace('seq_id', 'organism').replace('doc_id AS organism, lang AS organism', 'lang AS organism')} SELECT organism, hash, CAST(rank AS INTEGER) AS rank FROM sk")
+def _(spark, d):
+    own = M.sketch(genomes(spark, d), 8, 50).join(genomes(spark, d).select("seq_id", "organism"), "seq_id")
+    return M.merge_sketches(own, 50, "organism").select("organism", "hash", "rank")
+
+
 @query("k12_spectrum", f"WITH {_COUNTS}, f AS (SELECT cnt AS frequency, count(*) AS n_distinct FROM c GROUP BY 1), t AS (SELECT sum(n_distinct) AS d, sum(frequency * n_distinct) AS p FROM f) SELECT frequency, n_distinct, round(sum(n_distinct) OVER (ORDER BY frequency) / (SELECT d FROM t), 6) AS cum_distinct, round(sum(frequency * n_distinct) OVER (ORDER BY frequency) / (SELECT p FROM t), 6) AS cum_total, round(frequency / (SELECT p FROM t) * 1e6, 6) AS presence FROM f")
 def _(spark, d):
     return K.spectrum(K.kmers(genomes(spark, d), 8).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")))
@@ -410,6 +423,13 @@ def _(spark, d):
     return _edges(spark, d)
 
 
+@query("d1_packed", f"WITH {_EDGES} SELECT * FROM e")
+def _(spark, d):
+    e = Q.packed_edges(reads(spark, d), KMER)
+    node = lambda c: Q.unpack(F.col(c), KMER - 1).alias(c)
+    return e.select(Q.unpack(F.col("code"), KMER).alias("kmer"), node("src"), node("dst"), F.translate(F.col("base").cast("string"), "0123", "ACGT").alias("base"), "cnt")
+
+
 @query("d2_size", f"WITH {_EDGES} SELECT (SELECT count(*) FROM deg) AS n_nodes, count(*) AS n_edges, CAST(sum(cnt) AS BIGINT) AS n_kmers FROM e")
 def _(spark, d):
     return D.graph_size(_edges(spark, d))
@@ -641,6 +661,26 @@ def _(spark, d):
     return T.group_separation(e).withColumns({"mean_pc1": F.round("mean_pc1", 6), "mean_pc2": F.round("mean_pc2", 6)})
 
 
+# --- SQL only ------------------------------------------------------------------------------------------------
+_SQL_GENOMES = "SELECT doc_id AS seq_id, lang AS organism, regexp_replace(upper(text), '[^ACGTN]', '') AS seq FROM parquet.`{d}/documents.parquet`"
+
+
+@query("sql_kmer_counts", f"WITH {_INDEX_N} SELECT * FROM idx")
+def _(spark, d):
+    return register_functions(spark).sql(f"SELECT kmer, organism, count(*) AS cnt FROM (SELECT organism, kmers(seq, {KMER}) AS found FROM ({_SQL_GENOMES.format(d=d)})), LATERAL inline(found) GROUP BY kmer, organism")
+
+
+@query("sql_minimizers", f"WITH {_MIN.replace('[^ACGT]', '[^ACGTN]')} SELECT seq_id, organism, minimizer FROM gm")
+def _(spark, d):
+    return register_functions(spark).sql(f"SELECT seq_id, organism, minimizer FROM (SELECT seq_id, organism, minimizers(seq, {KMER}, {WINDOW}) AS found FROM ({_SQL_GENOMES.format(d=d)})), LATERAL inline(found)")
+
+
+@query("sql_fasta", f"WITH {_GENOMES} SELECT organism, CAST(seq_id AS VARCHAR) AS seq_id, 'of ' || organism AS description, seq, CASE WHEN length(seq) > 0 THEN round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq), 6) END AS gc FROM genomes")
+def _(spark, d):
+    text = "concat('; made of documents', char(10), '>', seq_id, ' of ', organism, char(10), regexp_replace(lower(regexp_replace(seq, 'N', '')), '(.{60})', concat('$1', char(13), char(10))), char(10))"
+    return register_functions(spark).sql(f"SELECT organism, x.seq_id, x.description, x.seq, round(gc_percent(x.seq), 6) AS gc FROM (SELECT organism, fasta_records({text}) AS found FROM ({_SQL_GENOMES.format(d=d)})), LATERAL inline(found) AS x")
+
+
 # --- sinks as rows --------------------------------------------------------------------------------------------
 @query("w5_summary_wide", f"WITH {_C3}, p AS (SELECT label, read_id % 2 AS g FROM c3), t AS (SELECT g, count(*) AS n FROM p GROUP BY 1) SELECT label, coalesce(round(100.0 * count(*) FILTER (p.g = 0) / (SELECT n FROM t WHERE g = 0), 2), 0.0) AS \"even\", coalesce(round(100.0 * count(*) FILTER (p.g = 1) / (SELECT n FROM t WHERE g = 1), 2), 0.0) AS \"odd\" FROM p GROUP BY 1")
 def _(spark, d):
