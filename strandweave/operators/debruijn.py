@@ -1,8 +1,7 @@
-"""De Bruijn graphs as edge tables, unitigs by pointer jumping, Eulerian walks over contracted components."""
+"""De Bruijn graphs as edge tables, unitigs by pointer jumping, Eulerian walks of contracted graphs in rounds of joins."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +9,7 @@ from pyspark.sql.window import Window
 from .components import components, stored
 from .kmers import kmers
 from .metrics import assembly_metrics
+from .trails import euler_trails, placed_chains
 
 
 def edges(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
@@ -36,104 +36,27 @@ def unitigs(e: DataFrame, k: int) -> DataFrame:
     Every edge learns its path's first edge and its distance from it by pointer
     jumping: a logarithmic number of joins, each cut into a table.
     """
-    deg = degrees(e)
-    through = deg.where("n_in = 1 and n_out = 1").select("node")
-    prev = e.select(F.col("kmer").alias("p"), F.col("dst").alias("node")).join(through, "node")
-    link = stored(e.join(prev, e.src == prev.node, "left").select("kmer", F.col("p").alias("up"), F.lit(1).cast("long").alias("dist"), F.coalesce("p", "kmer").alias("least")))
-    # A chain of 2**i edges is known after i rounds; edges of a cycle never reach a first edge.
-    rounds, total = 0, e.count()
-    while (1 << rounds) < max(2, 2 * total):
-        up = link.select(F.col("kmer").alias("k2"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("least").alias("l2"))
-        left = link.where("up is not null").join(up, F.col("up") == F.col("k2"))
-        jumped = left.select("kmer", F.coalesce("up2", "up").alias("up"), F.when(F.col("up2").isNull(), F.col("dist")).otherwise(F.col("dist") + F.col("d2")).alias("dist"), F.least("least", "l2").alias("least"), F.col("up2").isNotNull().alias("moved"))
-        jumped = stored(jumped)
-        moved = jumped.agg(F.max("moved")).first()[0]
-        link = stored(jumped.drop("moved").unionByName(link.where("up is null")))
-        rounds += 1
-        if not moved:
-            break
-    heads = link.where("up is null").select(F.col("kmer").alias("head"))
-    placed = link.join(heads, F.coalesce("up", "kmer") == F.col("head"), "left").select("kmer", "head", F.when(F.col("up").isNull(), 0).otherwise(F.col("dist")).alias("pos"), "least")
-    straight = placed.where("head is not null").select("kmer", "head", "pos")
-    ring = placed.where("head is null").select("kmer", F.least("least", "kmer").alias("head"))
-    rest = _ring_positions(ring.join(e.select("kmer", "src", "dst"), "kmer"))
-    path = straight.unionByName(rest).join(e.select("kmer", "base", "cnt"), "kmer")
+    through = degrees(e).where("n_in = 1 and n_out = 1").select("node")
+    prev = e.select(F.col("kmer").alias("up"), F.col("dst").alias("node")).join(through, "node")
+    links = e.select(F.col("kmer").alias("id"), "src").join(prev, F.col("src") == F.col("node"), "left").select("id", "up")
+    path = placed_chains(links).join(e.select(F.col("kmer").alias("id"), "base", "cnt"), "id")
     by = path.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("pos", "base", "cnt"))).alias("x"))
     return by.select(F.concat(F.expr(f"substring(head, 1, {k - 1})"), F.array_join(F.transform("x", lambda s: s["base"]), "")).alias("seq"), F.size("x").cast("long").alias("n_edges"), F.round(F.aggregate("x", F.lit(0).cast("long"), lambda a, s: a + s["cnt"]) / F.size("x"), 6).alias("coverage"))
 
 
-def _ring_positions(ring: DataFrame) -> DataFrame:
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after = dict(zip(pdf.src, zip(pdf.kmer, pdf.dst)))
-        at = pdf.loc[pdf.kmer == pdf["head"], "src"].iloc[0]
-        rows = []
-        for i in range(len(pdf)):
-            kmer, at = after[at]
-            rows.append((kmer, pdf["head"].iloc[0], i))
-        return pd.DataFrame(rows, columns=["kmer", "head", "pos"])
-
-    return ring.groupBy("head").applyInPandas(walk, "kmer string, head string, pos long")
-
-
-def euler_trails(edges_: list[tuple[str, str]]) -> list[list[int]]:
-    """Trails (lists of edge numbers) that together use every edge of a weakly connected multigraph once; as few as possible.
-
-    Nodes with more edges in than out are tied to those with more out than in by
-    extra edges, so that one closed walk uses every edge; it is cut at the extras.
-    """
-    spare: dict[str, int] = {}
-    for s, d in edges_:
-        spare[s] = spare.get(s, 0) + 1
-        spare[d] = spare.get(d, 0) - 1
-    ends = [n for n in sorted(spare) for _ in range(max(0, -spare[n]))]
-    starts = [n for n in sorted(spare) for _ in range(max(0, spare[n]))]
-    tied = edges_ + list(zip(ends, starts))
-    out: dict[str, list[int]] = {}
-    for i in sorted(range(len(tied)), key=lambda i: (tied[i], i), reverse=True):
-        out.setdefault(tied[i][0], []).append(i)
-    # Each stack entry is a node and the edge by which it was reached; edges are emitted on the way back.
-    stack, closed = [(starts[0] if starts else min(spare), -1)], []
-    while stack:
-        node, by = stack[-1]
-        if out.get(node):
-            i = out[node].pop()
-            stack.append((tied[i][1], i))
-        else:
-            closed.append(by)
-            stack.pop()
-    closed = [i for i in reversed(closed) if i >= 0]
-    cuts = [k for k, i in enumerate(closed) if i >= len(edges_)]
-    if not cuts:
-        return [closed] if closed else []
-    turned = closed[cuts[0] + 1 :] + closed[: cuts[0]]
-    trails: list[list[int]] = [[]]
-    for i in turned:
-        if i >= len(edges_):
-            trails.append([])
-        else:
-            trails[-1].append(i)
-    return [t for t in trails if t]
-
-
 def euler_walks(e: DataFrame, k: int) -> DataFrame:
     """(component, walk, seq): walks of each weak component that together use every edge exactly once, as few as possible.
 
-    Paths without a branch are contracted first by joins; the walk itself is
-    sequential by nature, so one component's contracted graph is one group.
+    Paths without a branch are contracted first; what is left is walked in rounds of
+    joins, so no component is one group.  `walk` is the walk's first k-mer.
     """
-    whole = unitigs(e, k).select("seq", F.expr(f"substring(seq, 1, {k - 1})").alias("src"), F.right("seq", F.lit(k - 1)).alias("dst"))
+    whole = unitigs(e, k).select(F.expr(f"substring(seq, 1, {k})").alias("id"), F.expr(f"substring(seq, 1, {k - 1})").alias("src"), F.right("seq", F.lit(k - 1)).alias("dst"), "seq")
     whole = stored(whole)
-    label = components(whole.select("src", "dst"))
-    own = whole.join(label.select(F.col("node").alias("src"), F.col("label").alias("component")), "src")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seqs = pdf.seq.tolist()
-        trails = euler_trails(list(zip(pdf.src, pdf.dst)))
-        texts = [seqs[t[0]] + "".join(seqs[i][k - 1 :] for i in t[1:]) for t in trails]
-        return pd.DataFrame({"component": [pdf.component.iloc[0]] * len(texts), "walk": range(len(texts)), "seq": texts})
-
-    return own.groupBy("component").applyInPandas(walk, "component string, walk long, seq string")
+    label = components(whole.select("src", "dst")).select(F.col("node").alias("src"), F.col("label").alias("component"))
+    part = euler_trails(whole).join(whole.select("id", "seq", "src"), "id").join(label, "src")
+    by = part.groupBy("component", F.col("trail").alias("walk")).agg(F.sort_array(F.collect_list(F.struct("pos", "seq"))).alias("x"))
+    text = F.concat(F.element_at("x", 1)["seq"], F.array_join(F.transform(F.slice("x", F.lit(2), F.size("x")), lambda s: F.substring(s["seq"], F.lit(k), F.length(s["seq"]))), ""))
+    return by.select("component", "walk", text.alias("seq"))
 
 
 def walk_coverage(walks: DataFrame, e: DataFrame, k: int) -> DataFrame:
@@ -146,8 +69,11 @@ def assemble(reads: DataFrame, k: int, seq: str = "seq") -> dict[str, DataFrame]
     """Graph, contigs (contig, seq, n_edges, coverage; longest first), their metrics and GFA lines, in that order of steps."""
     graph = stored(edges(reads, k, seq))
     found = unitigs(graph, k)
-    rank = Window.orderBy(F.desc(F.length("seq")), "seq")
-    contigs = stored(found.select(F.row_number().over(rank).cast("long").alias("contig"), "seq", "n_edges", "coverage"))
+    found = stored(found.withColumn("size", F.length("seq")))
+    # Only one count for each length is ordered over all contigs.
+    longer = found.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("size").orderBy("seq"))
+    contigs = stored(found.withColumn("n", inside).join(longer, "size").select((F.col("before") + F.col("n")).cast("long").alias("contig"), "seq", "n_edges", "coverage"))
     paths = kmers(contigs.select("contig", "seq"), k - 1, skip_n=False).select(F.concat(F.lit("contig_"), F.col("contig").cast("string")).alias("path"), F.col("pos").alias("ord"), F.col("kmer").alias("node"))
     return {"edges": graph, "contigs": contigs, "metrics": assembly_metrics(contigs), "gfa": gfa_lines(graph, k, paths)}
 

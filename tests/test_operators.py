@@ -192,22 +192,6 @@ def test_euler_walks_use_every_edge_once(spark, seed):
     assert weak <= len(walks) <= weak + sum(d for d in degree.values() if d > 0)
 
 
-def test_trails_are_as_few_as_possible():
-    rng = random.Random(8)
-    for _ in range(200):
-        edges = [(rng.choice("abcd"), rng.choice("abcd")) for _ in range(rng.randrange(1, 12))]
-        near = {n: n for x in edges for n in x}
-        for _ in near:
-            for s, d in edges:
-                near[s] = near[d] = min(near[s], near[d])
-        edges = [x for x in edges if near[x[0]] == min(near.values())]
-        trails = debruijn.euler_trails(edges)
-        assert sorted(i for t in trails for i in t) == list(range(len(edges)))
-        assert all(edges[i][1] == edges[j][0] for t in trails for i, j in zip(t, t[1:]))
-        spare = sum(max(0, sum(s == n for s, _ in edges) - sum(d == n for _, d in edges)) for n in near)
-        assert len(trails) == max(1, spare)
-
-
 def test_assemblies_rebuild_a_sequence(spark):
     rng = random.Random(6)
     s = dna(rng, 300)
