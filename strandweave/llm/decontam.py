@@ -288,9 +288,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     Null and empty texts have no words and no hits; items without words have no
     windows; items that share an id count once; an item without id is listed as
-    ''.  No shuffle: documents stay where they are read.
+    ''.  No shuffle: documents stay where they are read.  A key with the name of an
+    added column is returned with `_key` after its name.
     """
     blocks = broadcast_benchmark(benchmark, window=window)
+    added = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_match", "longest_item", "longest_at"]
+    own = f"{key}_key" if key in added else key
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -309,11 +312,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 pa.array(m.longest_item, pa.string()),
                 pa.array(m.longest_at, pa.int64()),
             ],
-            names=[key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_match", "longest_item", "longest_at"],
+            names=[own, *added],
         )
 
-    schema = f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_match long, longest_item string, longest_at long"
-    return map_pieces(docs.select(key, text), text, run, schema)
+    schema = f"`{own}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, longest_match long, longest_item string, longest_at long"
+    return map_pieces(docs.select(F.col(key).alias(own), F.col(text).alias("_text")), "_text", run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:

@@ -281,11 +281,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", states
 
     Null and empty texts are one end token.  Rows that repeat a key are scored
     each by its own text; a null key counts as the empty text for the fold.  With
-    no training rows all counts are 0.  An empty table gives no rows.
+    no training rows all counts are 0.  An empty table gives no rows.  A key with
+    the name of an added column is returned with `_key` after its name.
     """
-    counts = cut(word_counts(docs, key, text))
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_body"))
+    counts = cut(word_counts(own, "_key", "_body"))
     v = Vocabulary.build(counts)
-    encoded = cut(encode(docs, v, key, text))
+    encoded = cut(encode(own, v, "_key", "_body"))
     model = baum_welch(encoded, v.unigram, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -305,7 +307,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", states
             ll = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ll / np.log(10))], names=[*names, "log_symbols"])
 
-    names = ["row", key, "held_out", "n_tokens", "n_frequent", "log_frequent", "log_classed"]
+    names = ["row", "_key", "held_out", "n_tokens", "n_frequent", "log_frequent", "log_classed"]
     plain = encoded.select(*names, "symbols")
     scored = plain.mapInArrow(run, encoded.select(*names).schema.add("log_symbols", "double"))
     # Words that the frequent table lacks: their count from the whole table, or 0.
@@ -313,8 +315,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", states
     rare = rare.groupBy("row").agg(F.count("c").alias("n_rare"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("log_rare"))
     out = scored.join(rare, "row", "left")
     log_rare = F.coalesce("log_rare", F.lit(0.0))
+    added = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     return out.select(
-        F.col(key),
+        F.col("_key").alias(f"{key}_key" if key in added else key),
         "held_out",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),

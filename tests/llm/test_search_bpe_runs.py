@@ -275,3 +275,19 @@ def test_collapsed_text_and_runs_as_columns(spark):
 def test_long_periodic_text():
     words = [b"u%d" % i for i in range(50_000)] + [b"a", b"b", b"c"] * 60_000 + [b"end"]
     assert runs.find_runs([words]) == [[(50_000, 180_000, 3)]]
+
+
+def test_keys_named_like_other_columns(spark):
+    """Decontamination and language-model scores with keys that have names of their own columns."""
+    from strandweave.llm import decontam, hmm
+
+    docs = [(i, f"some words of text {i} and more words here") for i in range(9)]
+    bench = spark.createDataFrame([(1, "words of text")], ITEMS)
+    plain = {r.doc_id: r[1:] for r in decontam.contamination(spark.createDataFrame(docs, DOCS), bench).collect()}
+    for name in ("n_words", "row", "items"):
+        got = decontam.contamination(spark.createDataFrame(docs, f"{name} long, text string"), bench, key=name)
+        assert {r[0]: r[1:] for r in got.collect()} == plain and got.columns[0] == (name if name == "row" else f"{name}_key")
+    want = {r.doc_id: r[1:] for r in hmm.score_texts(spark.createDataFrame(docs, DOCS), states=2, rounds=1).collect()}
+    for name in ("row", "score"):
+        got = hmm.score_texts(spark.createDataFrame(docs, f"{name} long, text string"), name, states=2, rounds=1)
+        assert {r[0]: r[1:] for r in got.collect()} == want and got.columns[0] == (name if name == "row" else "score_key")
