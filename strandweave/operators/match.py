@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.sequence import CHUNK, mismatches, part_bounds, windows, within
 from .kmers import chunks, kmers, kmers_of_lengths
 
+#: Bases of a piece within which a hit is compared, besides the longest read or pattern.
+PIECE = 2048
 
 def _positions(seqs: DataFrame, seq: str, size: int, extra: int = 0, some_of: tuple[str, ...] = ()) -> DataFrame:
     """Every 0-based `start` at which `size` bases fit, with `_piece`: those bases and up to `extra` more.
@@ -109,8 +111,10 @@ def occurrence_counts(seqs: DataFrame, patterns: DataFrame, key: str = "seq_id",
     found = kmers_of_lengths(seqs.select(seq), sizes, seq).join(short.select(F.col("pattern").alias("kmer")), "kmer").select(F.col("kmer").alias("pattern"))
     starts = long.select("pattern", F.expr(f"substring(pattern, 1, {seed})").alias("kmer"))
     hit = kmers(seqs.select(F.col(key).alias("_key"), F.col(seq).alias("seq")), seed, "seq", skip_n=False).join(starts, "kmer").select("_key", "pattern", "pos")
-    whole = hit.where(F.length("pattern") > seed).join(seqs.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")), "_key")
-    whole = whole.where(F.expr("substring(_seq, pos + 1, length(pattern))") == F.col("pattern")).select("pattern")
+    longest = long.agg(F.max(F.length("pattern"))).first()[0] or seed
+    pieces = chunks(seqs.select(F.col(key).alias("_key"), F.col(seq).alias("_seq")), "_seq", PIECE, longest, "_from").withColumn("_piece", F.expr(f"_from div {PIECE}"))
+    whole = hit.where(F.length("pattern") > seed).withColumn("_piece", F.expr(f"pos div {PIECE}")).join(pieces, ["_key", "_piece"])
+    whole = whole.where(F.expr("substring(_seq, pos - _from + 1, length(pattern))") == F.col("pattern")).select("pattern")
     found = found.unionByName(hit.where(F.length("pattern") == seed).select("pattern")).unionByName(whole)
     n = found.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     return patterns.select("pattern").distinct().join(n, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -132,15 +136,17 @@ def read_matches(reads: DataFrame, genomes: DataFrame, limit: int = 0, seed: int
         args = (genomes, limit)
         rest = read_matches(some.where(F.length(seq) >= bound), *args, seed, read, genome, seq)
         return rest.unionByName(read_matches(short, *args, max(1, seed // 2), read, genome, seq)).distinct()
-    least = some.agg(F.min(F.length(seq))).first()[0]
+    least, most = some.agg(F.min(F.length(seq)), F.max(F.length(seq))).first()
     if least is None:
         return reads.select(read).join(genomes.select(genome, "organism"), F.lit(False))
     w = max(1, min(seed, least // (limit + 1)))
     part = F.transform(F.sequence(F.lit(0), F.lit(limit)), lambda p: F.floor(p * F.length(seq) / (limit + 1)).cast("int"))
-    seeds = some.select(F.col(read), F.col(seq).alias("_read"), F.explode(part).alias("_at")).withColumn("kmer", F.expr(f"substring(_read, _at + 1, {w})"))
-    found = kmers(genomes.select(genome, seq), w, seq, skip_n=False).join(seeds, "kmer").select(genome, read, "_read", (F.col("pos") - F.col("_at")).alias("_start")).where("_start >= 0").distinct()
-    both = found.join(genomes.select(genome, "organism", F.col(seq).alias("_genome")), genome)
-    here = F.expr("substring(_genome, _start + 1, length(_read))")
+    seeds = some.select(F.col(read), F.col(seq).alias("_read"), F.explode(part).alias("_at")).select(read, "_at", F.expr(f"substring(_read, _at + 1, {w})").alias("kmer")).distinct()
+    found = kmers(genomes.select(genome, seq), w, seq, skip_n=False).join(seeds, "kmer").select(genome, read, (F.col("pos") - F.col("_at")).alias("_start")).where("_start >= 0").distinct()
+    # A hit is compared within a piece of the genome that holds the longest read from any start: no row has a whole genome.
+    pieces = chunks(genomes.select(genome, "organism", F.col(seq).alias("_genome")), "_genome", PIECE, most, "_from").withColumn("_piece", F.expr(f"_from div {PIECE}"))
+    both = found.withColumn("_piece", F.expr(f"_start div {PIECE}")).join(pieces, [genome, "_piece"]).join(some.select(read, F.col(seq).alias("_read")), read)
+    here = F.expr("substring(_genome, _start - _from + 1, length(_read))")
     near = here == F.col("_read") if limit == 0 else (F.length(here) == F.length("_read")) & within(here, F.col("_read"), limit)
     return both.where(near).select(read, genome, "organism").distinct()
 

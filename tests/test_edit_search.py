@@ -122,3 +122,25 @@ def test_index_of_nothing(spark):
     assert index.find(spark.createDataFrame([(1, "ACGTACGT")], "read_id long, seq string")).count() == 0
     full = SeedIndex.build(spark.createDataFrame([(1, "o", "ACGTACGT")], "seq_id long, organism string, seq string"), 4, "seedempty", 64, 60, 2)
     assert full.find(spark.createDataFrame([], "read_id long, seq string")).count() == 0 and full.seeds.count() == 8
+
+
+def test_reads_across_pieces_are_matched(spark, monkeypatch):
+    """read_matches and occurrence_counts compare within pieces; their cuts change nothing."""
+    rng = random.Random(14)
+    seqs = [(i, "o", "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((900, 130, 64, 33))]
+    reads = []
+    for k in range(40):
+        s = seqs[k % 4][2]
+        n = rng.randrange(20, min(90, len(s)) + 1)
+        r = list(s[(at := rng.randrange(len(s) - n + 1)) : at + n])
+        if k % 2:
+            r[rng.randrange(n)] = rng.choice("ACGT")
+        reads.append((k, "".join(r)))
+    df, asked = spark.createDataFrame(seqs, "seq_id long, organism string, seq string"), spark.createDataFrame(reads, "read_id long, seq string")
+    for piece in (2048, 32):
+        monkeypatch.setattr(match, "PIECE", piece)
+        for limit in (0, 1):
+            want = sorted({(i, j, o) for i, r in reads for j, o, s in seqs if any(sum(x != y for x, y in zip(r, s[at : at + len(r)])) <= limit for at in range(len(s) - len(r) + 1))})
+            assert sorted(map(tuple, match.read_matches(asked, df, limit).collect())) == want
+        counts = {r.pattern: r.n for r in match.occurrence_counts(df, asked.selectExpr("seq AS pattern")).collect()}
+        assert counts == {r: sum(s.startswith(r, at) for _, _, s in seqs for at in range(len(s))) for _, r in reads}
