@@ -711,6 +711,27 @@ def test_dropped_lines_equal_groups_by_words_or_letters(spark):
     assert sum(got.values()) >= 0.97 * sum(want.values())
 
 
+def test_signatures_let_every_similar_pair_pass(spark):
+    """The filter before short lines are fetched loses no pair that is alike in words or in letters, and most others go."""
+    rng = random.Random(1)
+    rows = []
+    for n in range(1, 12):
+        for kind in [k % 3 for k in range(180)]:
+            a = own_line(rng, n)
+            b = edited(rng, a, n // 5, 0) if kind == 0 else edited(rng, a, 0, max(1, n // 3)) if kind == 1 else own_line(rng, n)
+            w = b.split()
+            if rng.random() < 0.3:
+                w.insert(rng.randrange(len(w) + 1), "zq")
+            rows.append((a, " ".join(w[:11]), n, len(w[:11])))
+    df = spark.createDataFrame(rows, "a string, b string, na int, nb int").withColumns({"sa": line_dedup._signature(F.col("a")), "sb": line_dedup._signature(F.col("b"))})
+    gone = 0
+    for r in df.withColumn("could", line_dedup._could("sa", "sb", "na", "nb")).collect():
+        alike = 5 * edit_distance(r.a, r.b) <= max(len(r.a), len(r.b)) or 5 * edit_distance(r.a.split(), r.b.split()) <= max(r.na, r.nb)
+        assert r.could or not alike
+        gone += not r.could
+    assert gone > 400
+
+
 def test_letters_changed_in_half_of_the_words(spark):
     """Recall by number of words; it falls with the number of words, as the README says."""
     rng = random.Random(5)
