@@ -11,7 +11,7 @@ CHUNK = 512
 
 def dna(text: Column, keep_n: bool = True) -> Column:
     """Upper-cased text without anything but A, C, G, T (and N)."""
-    return F.regexp_replace(F.upper(text), "[^ACGTN]" if keep_n else "[^ACGT]", "")
+    return F.regexp_replace(F.upper(text), "[^ACGTN]+" if keep_n else "[^ACGT]+", "")
 
 
 def gc_bases(seq: Column) -> Column:
@@ -47,3 +47,11 @@ def error_probability(score: Column) -> Column:
 def windows(seq: Column, size: int) -> Column:
     """Start positions (from 1) of all windows of `size`; an empty array where none fits."""
     return F.when(F.length(seq) >= size, F.sequence(F.lit(1), F.length(seq) - (size - 1))).otherwise(F.array().cast("array<int>"))
+
+
+def words(seq: Column, size: int) -> Column:
+    """All overlapping pieces of `size` in order: one pass of a pattern whose matches are empty, so none walks the string from its start.
+
+    A place within a surrogate pair of Java's strings is no start.
+    """
+    return F.regexp_extract_all(seq, F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{size}}}))"), F.lit(1))

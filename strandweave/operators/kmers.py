@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import CHUNK, windows
+from ..functions.sequence import CHUNK, words
 
 #: Chunks in a coarse piece.
 COARSE = 64
@@ -28,11 +28,10 @@ def chunks(df: DataFrame, seq: str = "seq", size: int = CHUNK, overlap: int = 0,
 
 def kmers(df: DataFrame, k: int, seq: str = "seq", skip_n: bool = True) -> DataFrame:
     """One row per overlapping k-mer: `kmer` and its 0-based `pos`; those with an N are left out unless skip_n is off."""
+    # A chunk overlaps the next one by k - 1 bases, so a start belongs to the chunk that it lies in.
     cut = chunks(df, seq, overlap=k - 1, start="_chunk")
-    out = cut.withColumn("_i", F.explode(windows(F.col(seq), k)))
-    out = out.withColumn("kmer", F.expr(f"substring({seq}, _i, {k})")).withColumn("pos", (F.col("_chunk") + F.col("_i") - 1).cast("int"))
-    # A start belongs to the chunk that it lies in, not to the overlap of the one before.
-    out = out.where(F.col("_i") <= CHUNK).drop(seq, "_chunk", "_i")
+    out = cut.select(*(c for c in cut.columns if c != seq), F.posexplode(words(F.col(seq), k)).alias("_i", "kmer"))
+    out = out.withColumn("pos", (F.col("_chunk") + F.col("_i")).cast("int")).drop("_chunk", "_i")
     return out.where(~F.col("kmer").contains("N")) if skip_n else out
 
 

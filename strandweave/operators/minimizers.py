@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.sequence import windows
 from .kmers import CHUNK, chunks
+from .packed import MOST, roll
 
 #: Bases of a piece that is sketched by itself.
 SKETCH_PIECE = 1 << 15
+#: Bases of a stretch whose minimizers are found at once.
+PIECE = 2048
+#: Stands for a k-mer with an N: above every code.
+NONE = np.iinfo(np.int64).max
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+#: Deletes bases and N.
+_BASES = str.maketrans("", "", "ACGTN")
+
+
+def _lowest(code: np.ndarray, w: int) -> np.ndarray:
+    """The smallest of each w neighbouring codes, distinct and in order; windows of nothing but NONE give none."""
+    least = code[: len(code) - w + 1].copy()
+    for i in range(1, w):
+        np.minimum(least, code[i : i + len(least)], out=least)
+    found = np.unique(least)
+    return found[found != NONE]
+
+
+def _found(text: str | None, k: int, w: int) -> np.ndarray:
+    """Letters of the distinct minimizers of a stretch, one row of k letters each: as bytes if it has bases and N only, else as code points."""
+    n = len(text or "") - k + 1
+    if n < w:
+        return np.zeros((0, k), np.uint8)
+    if k <= MOST and text.isascii() and not text.translate(_BASES):
+        code = np.full(n, NONE, np.int64)
+        packed, at = roll(np.frombuffer(text.encode(), np.uint8), k)
+        code[at] = packed
+        return _LETTERS[(_lowest(code, w)[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+    pieces = sliding_window_view(np.frombuffer(text.encode("utf-32-le"), "<u4"), k)
+    each, name = np.unique(pieces, axis=0, return_inverse=True)
+    return each[_lowest(np.where((pieces == ord("N")).any(axis=1), NONE, name.reshape(-1)), w)]
+
+
+def _window_minima(k: int, w: int):
+    """Column function: distinct minimizers of each stretch of a batch."""
+
+    @F.arrow_udf("array<string>")
+    def minima(texts: pa.Array) -> pa.Array:
+        found = [_found(text.as_py(), k, w) for text in texts]
+        if any(x.dtype != np.uint8 for x in found):
+            return pa.array([["".join(map(chr, row)) for row in x.tolist()] for x in found], pa.list_(pa.string()))
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        letters = np.concatenate(found) if found else np.zeros((0, k), np.uint8)
+        strings = pa.StringArray.from_buffers(len(letters), pa.py_buffer(np.arange(0, (len(letters) + 1) * k, k, np.int32)), pa.py_buffer(letters.tobytes()))
+        return pa.ListArray.from_arrays(pa.array(ends), strings)
+
+    return minima
 
 
 def minimizers(df: DataFrame, k: int, w: int, seq: str = "seq") -> DataFrame:
     """Distinct (input columns, minimizer): the smallest k-mer without N of each full window of w consecutive k-mers.
 
-    Each stretch of k-mers is an array of its own row and windows are slices of
-    it, so no row leaves its partition before the final distinct.
+    Each stretch of a sequence keeps its own distinct minimizers, so no row leaves
+    its partition before the final distinct.
     """
-    cut = chunks(df, seq, overlap=w + k - 2, start="_chunk")
-    words = F.transform(windows(F.col(seq), k), lambda i: F.substring(F.col(seq), i, F.lit(k)))
-    cut = cut.withColumn("_words", F.transform(words, lambda x: F.when(~x.contains("N"), x)))
-    full = F.when(F.size("_words") >= w, F.sequence(F.lit(1), F.least(F.size("_words") - (w - 1), F.lit(CHUNK)))).otherwise(F.array().cast("array<int>"))
-    found = F.array_distinct(F.transform(full, lambda i: F.array_min(F.slice("_words", i, F.lit(w)))))
-    return cut.withColumn("minimizer", F.explode(found)).where("minimizer is not null").drop(seq, "_chunk", "_words").distinct()
+    cut = chunks(df, seq, PIECE, w + k - 2, "_start").drop("_start")
+    found = cut.select(*(c for c in cut.columns if c != seq), _window_minima(k, w)(F.col(seq)).alias("_found"))
+    return found.withColumn("minimizer", F.explode("_found")).drop("_found").distinct()
 
 
 def minimizer_index(genomes: DataFrame, k: int, w: int, organism: str = "organism", seq: str = "seq") -> DataFrame:
     """Distinct (minimizer, organism)."""
-    return minimizers(genomes.select(organism, seq), k, w, seq).select("minimizer", organism).distinct()
+    return minimizers(genomes.select(organism, seq), k, w, seq).select("minimizer", organism)  # distinct already
 
 
 def sketch(df: DataFrame, k: int, size: int, key: str = "seq_id", seq: str = "seq") -> DataFrame:
