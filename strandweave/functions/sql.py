@@ -11,25 +11,29 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .sequence import CHUNK
 
+def _words(pattern: str) -> str:
+    """What `pattern` finds at each place of `seq` (none within a surrogate pair), in one pass: substring() would walk the string from its start."""
+    return rf"CASE WHEN k > 0 OR seq IS NULL THEN regexp_extract_all(seq, concat(r'(?s)(?![\x{{DC00}}-\x{{DFFF}}])', {pattern}), 1) ELSE CAST(array() AS ARRAY<STRING>) END"
 
-def _at_each_chunk(overlap: str, result: str) -> str:
-    """`result`, an array made of a piece `p` that starts at `c`, for all pieces of `seq`: substring() walks a string from its start."""
-    return f"flatten(transform(sequence(0, greatest(length(seq) - 1, 0), {CHUNK}), c -> flatten(transform(array(substring(seq, c + 1, {CHUNK} + {overlap})), p -> {result}))))"
 
+def _with(name: str, value: str, result: str) -> str:
+    """`result`, an array made of `value` under a name; null without one."""
+    return f"flatten(transform(array({value}), {name} -> {result}))"
 
-_WINDOWS = "CASE WHEN k > 0 AND length(p) >= k THEN sequence(1, length(p) - k + 1) ELSE CAST(array() AS ARRAY<INT>) END"
 
 #: Signature and body of each function; null sequences give null, so no rows.
 FUNCTIONS = {
     # (pos, kmer) of each k-mer without N.
-    "kmers(seq STRING, k INT) RETURNS ARRAY<STRUCT<pos: BIGINT, kmer: STRING>>": "filter(" + _at_each_chunk("k - 1", f"transform({_WINDOWS}, i -> struct(CAST(c + i - 1 AS BIGINT) AS pos, substring(p, i, k) AS kmer))") + ", x -> NOT contains(x.kmer, 'N'))",
-    # (minimizer), distinct: the smallest k-mer without N of each full window of w k-mers.
+    "kmers(seq STRING, k INT) RETURNS ARRAY<STRUCT<pos: BIGINT, kmer: STRING>>": _with(
+        "found", _with("words", _words("'(?=(.{', k, '}))'"), "transform(words, (x, i) -> struct(CAST(i AS BIGINT) AS pos, x AS kmer))"), "CASE WHEN contains(seq, 'N') THEN filter(found, x -> NOT contains(x.kmer, 'N')) ELSE found END"
+    ),
+    # (minimizer), distinct: the smallest k-mer without N of each full window of w k-mers; words with an N are found as empty.
     "minimizers(seq STRING, k INT, w INT) RETURNS ARRAY<STRUCT<minimizer: STRING>>": "transform(array_distinct(filter("
-    + _at_each_chunk(
-        "w + k - 2",
-        f"flatten(transform(array(transform({_WINDOWS}, i -> CASE WHEN NOT contains(substring(p, i, k), 'N') THEN substring(p, i, k) END)), words -> transform(CASE WHEN w > 0 AND size(words) >= w THEN sequence(1, size(words) - w + 1) ELSE CAST(array() AS ARRAY<INT>) END, i -> array_min(slice(words, i, w)))))",
+    + _with(
+        "words",
+        _with("words", _words("'(?=.{', k, '})(?:(?=([^N]{', k, '}))|)'"), "CASE WHEN contains(seq, 'N') THEN transform(words, x -> nullif(x, '')) ELSE words END"),
+        "transform(CASE WHEN w > 0 AND size(words) >= w THEN sequence(1, size(words) - w + 1) ELSE CAST(array() AS ARRAY<INT>) END, i -> array_min(slice(words, i, w)))",
     )
     + ", m -> m IS NOT NULL)), m -> struct(m AS minimizer))",
     # (seq_id, description, seq) of each record of a FASTA text; what comes before the first header is left out.

@@ -662,7 +662,7 @@ def _(spark, d):
 
 
 # --- SQL only ------------------------------------------------------------------------------------------------
-_SQL_GENOMES = "SELECT doc_id AS seq_id, lang AS organism, regexp_replace(upper(text), '[^ACGTN]', '') AS seq FROM parquet.`{d}/documents.parquet`"
+_SQL_GENOMES = "SELECT doc_id AS seq_id, lang AS organism, regexp_replace(upper(text), '[^ACGTN]+', '') AS seq FROM parquet.`{d}/documents.parquet`"
 
 
 @query("sql_kmer_counts", f"WITH {_INDEX_N} SELECT * FROM idx")
