@@ -24,7 +24,7 @@ def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str
 
     A contained read's first bases occur in its container: an equi-join on that
     seed finds candidates, those that do not fit by length go, and the whole read
-    is compared there.  Reads shorter than a seed begin a k-mer of their container
+    is compared there by its digest (sha256).  Reads shorter than a seed begin a k-mer of their container
     or its last bases: both are made distinct first and then cut to each length.
     Empty reads lie in any other that is not empty.
     """
@@ -33,10 +33,11 @@ def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str
     long = own.where(F.length("sa") >= seed)
     wide = some.where(F.length(seq) >= seed).select(F.col(read).alias("b"), F.length(seq).alias("lb"), F.col(seq).alias("seq"))
     places = kmers(wide, seed, "seq", skip_n=False)
-    starts = long.select("a", F.length("sa").alias("la"), F.expr(f"substring(sa, 1, {seed})").alias("kmer"))
-    found = places.join(starts, "kmer").where("la < lb and pos + la <= lb").select("a", "b", "pos")
-    both = found.join(long, "a").join(wide.select("b", F.col("seq").alias("sb")), "b")
-    inside = both.where(F.expr("substring(sb, pos + 1, length(sa))") == F.col("sa")).select("a")
+    # A candidate carries the read's digest and not the read, so only the containers' sequences travel, once each.
+    starts = long.select("a", F.length("sa").alias("la"), F.sha2("sa", 256).alias("digest"), F.expr(f"substring(sa, 1, {seed})").alias("kmer"))
+    found = places.join(starts, "kmer").where("la < lb and pos + la <= lb").select("a", "b", "pos", "la", "digest")
+    both = found.join(wide.select("b", F.col("seq").alias("sb")), "b")
+    inside = both.where(F.sha2(F.expr("substring(sb, pos + 1, la)"), 256) == F.col("digest")).select("a")
     short = own.where(F.length("sa") < seed)
     sizes = sorted(r[0] for r in short.select(F.length("sa")).distinct().collect())  # below the seed's length
     names = short.select(F.col("sa").alias("kmer")).distinct()
