@@ -732,6 +732,24 @@ def test_signatures_let_every_similar_pair_pass(spark):
     assert gone > 400
 
 
+def test_pairs_are_compared_in_rounds(spark, monkeypatch):
+    rng = random.Random(41)
+    lines = [own_line(rng, 20) for _ in range(12)]
+    rows = [(i, edited(rng, line, 1, 0)) for i, line in enumerate(lines)] + [(100 + i, line) for i, line in enumerate(lines)]
+    want = sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect()))
+    assert sum(r[-1] for r in want) >= 10
+    of_round, compared = [], line_dedup._compared
+
+    def counted(pairs, *lines):
+        of_round.append(pairs.count())
+        return compared(pairs, *lines)
+
+    monkeypatch.setattr(line_dedup, "_compared", counted)
+    monkeypatch.setattr(line_dedup, "ROUND_LETTERS", 200)
+    assert sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect())) == want
+    assert len(of_round) > 3 and max(of_round) < 10 <= sum(of_round)
+
+
 def test_letters_changed_in_half_of_the_words(spark):
     """Recall by number of words; it falls with the number of words, as the README says."""
     rng = random.Random(5)
