@@ -30,6 +30,8 @@ from ._text import ALNUM, Piece, map_pieces, mix, powers, prefix_hash, span_hash
 LENGTH, GRAM, CELL = 400, 100, 32
 #: The same of shared passages, in words.
 WORDS, WORD_GRAM, WORD_CELL = 50, 8, 8
+#: Text bytes that a task works on at once.  The arrays of a search hold about a hundred times as many bytes.
+PIECE_BYTES = 1 << 20
 _UNITS = "rid long, start int, n int, core long, ctx long"
 
 
@@ -194,7 +196,7 @@ def _runs(docs: DataFrame, words: bool, length: int, gram: int) -> DataFrame:
         ctx = a.digest(a.first, a.first + a.n - 1 + length, a.anchor - a.first)
         return _units(batch.column("rid"), a, a.row, a.first, a.n, core, ctx)
 
-    return map_pieces(docs, "_text", run, _UNITS)
+    return map_pieces(docs, "_text", run, _UNITS, PIECE_BYTES)
 
 
 def _wanted_runs(batch: pa.RecordBatch, words: bool, length: int, gram: int) -> tuple[_Anchored, np.ndarray]:
@@ -224,7 +226,7 @@ def _cells(docs: DataFrame, words: bool, length: int, gram: int, cell: int) -> D
         start = np.maximum(lowest, first)
         return _units(batch.column("rid"), a, row, start, np.minimum(highest, first + n - 1) - start + 1, core, ctx)
 
-    return map_pieces(docs, "_text", run, _UNITS)
+    return map_pieces(docs, "_text", run, _UNITS, PIECE_BYTES)
 
 
 def _windows(docs: DataFrame, words: bool, length: int) -> DataFrame:
@@ -246,7 +248,7 @@ def _windows(docs: DataFrame, words: bool, length: int) -> DataFrame:
         row = row[np.searchsorted(pos, order)]
         return pa.RecordBatch.from_arrays([batch.column("rid").take(pa.array(row)), pa.array((order - piece.start[row]).astype(np.int32)), pa.array(np.ones(len(order), np.int32)), pa.array(digest), pa.array(digest)], names=["rid", "start", "n", "core", "ctx"])
 
-    return map_pieces(docs, "_text", run, _UNITS)
+    return map_pieces(docs, "_text", run, _UNITS, PIECE_BYTES)
 
 
 # --- settling -------------------------------------------------------------------------------------------------
@@ -363,4 +365,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         columns = [pa.array([x[i] for x in out], kinds[i]) for i in range(5)]
         return pa.RecordBatch.from_arrays([batch.column("_key"), *columns[:4], pa.array(n_shared), pa.array(n_shared > 0), *columns[4:][: len(names) - 7]], names=names)
 
-    return map_pieces(both, "_text", run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, shared_passage boolean" + ", kept binary" * with_text)
+    return map_pieces(both, "_text", run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long, shared_passage boolean" + ", kept binary" * with_text, PIECE_BYTES)

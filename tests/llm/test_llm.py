@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandweave.llm import _graph, bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, suffix_dedup, toxicity, url_rules
+from strandweave.llm import _graph, _text, bpe, decontam, hmm, line_dedup, media_ts, minhash, sharding, suffix_dedup, toxicity, url_rules
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, extra string"
@@ -322,6 +323,23 @@ def test_repeats_in_larger_texts(spark, monkeypatch, most):
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(b), int(gone.sum()), hashlib.sha256(b[~gone].tobytes()).hexdigest())
 
 
+def test_searches_for_repeats_work_on_small_pieces(spark, monkeypatch):
+    limits, mapped = [], suffix_dedup.map_pieces
+    monkeypatch.setattr(suffix_dedup, "map_pieces", lambda df, column, fn, schema, limit=_text.PIECE_BYTES: limits.append(limit) or mapped(df, column, fn, schema, limit))
+    rng = random.Random(43)
+    shared = prose(rng, 120)
+    suffix_dedup.remove_repeats(frame(spark, [(i, prose(rng, 50) + shared) for i in range(4)])).count()
+    assert len(limits) == 7
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(rng, 500) for _ in range(2000)])], names=["text"])
+    assert batch.nbytes > 3 << 20
+    tracemalloc.start()
+    for piece in _text.pieces(batch, "text", max(limits)):
+        suffix_dedup._Anchored(piece.column("text"), False, suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
