@@ -768,6 +768,49 @@ def test_pairs_are_compared_in_rounds(spark, monkeypatch):
     assert len(of_round) > 3 and max(of_round) < 10 <= sum(of_round)
 
 
+def test_heads_let_every_similar_pair_pass(spark):
+    """Comparing first letters loses no pair that is alike in letters, wherever its edits stand, and most others go."""
+    rng = random.Random(51)
+    rows = []
+    for k in range(400):
+        a = own_line(rng, rng.choice([1, 3, 12, 25]))
+        if k % 4:
+            b, most = list(a), len(a) // 5
+            at = rng.randrange(len(a))
+            for _ in range(most):
+                # Edits come in one place or all over; letters come, go or change.
+                i = min(at, len(b) - 1) if k % 4 == 1 else rng.randrange(len(b))
+                b[i : i + rng.choice([0, 1, 1])] = rng.choice(["", "x", "x"])
+                b = b or ["x"]
+            b = "".join(b)
+        else:
+            b = own_line(rng, len(a.split()))
+        rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string")
+    short = lambda c: F.left(c, F.floor(F.length(c) * line_dedup.HEADS[-1] / 100).cast("int"))
+    df = df.select("a", "b", short("a").alias("x"), short("b").alias("y"))
+    gone = 0
+    for r in df.select("a", "b", line_dedup._heads("x", "y", F.length("a"), F.length("b")).alias("heads"), line_dedup._heads("a", "b", F.length("a"), F.length("b")).alias("lines")).collect():
+        alike = 5 * edit_distance(r.a, r.b) <= max(len(r.a), len(r.b))
+        assert r.heads == r.lines and (r.heads or not alike)
+        gone += not r.heads
+    assert gone > 60
+
+
+def test_unlike_pairs_of_a_block_do_not_travel_with_their_texts(spark, monkeypatch):
+    """Lines of one block and SimHash that are unlike in words and letters go before lines are fetched for pairs; the links stay, in dealt blocks too."""
+    rng = random.Random(52)
+    lines = [own_line(rng, 30) for _ in range(12)]
+    pairs = [(line, edited(rng, line, 4, 0)) for line in lines]
+    h1 = {l: i for i, l in enumerate(l for p in pairs for l in p)}
+    rows = [(7, i, 5, 30, i, 3) for i in h1.values()] + [(8, i, 5, 30, i, 1) for i in h1.values()]
+    named = spark.createDataFrame(rows, "block long, h1 long, simhash long, n int, label long, parts int")
+    got = line_dedup._apart(named.transform(_graph.cut), spark.createDataFrame([(i, l) for l, i in h1.items()], "h1 long, line string"))
+    want = {(h1[a], h1[b]) for a, b in pairs}
+    found = [tuple(r) for r in got.collect()]
+    assert want <= set(found) and len(found) == len(set(found)) and len(found) < 3 * len(want)
+
+
 def test_letters_changed_in_half_of_the_words(spark):
     """Recall by number of words; it falls with the number of words, as the README says."""
     rng = random.Random(5)
