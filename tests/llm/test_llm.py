@@ -811,6 +811,48 @@ def test_unlike_pairs_of_a_block_do_not_travel_with_their_texts(spark, monkeypat
     assert want <= set(found) and len(found) == len(set(found)) and len(found) < 3 * len(want)
 
 
+def test_lines_and_blocks_are_shuffled_in_turns(spark, monkeypatch):
+    """The disk holds a share of the documents or blocks at a time; every line and block has its turn, and the result stays."""
+    rng = random.Random(53)
+    lines = [own_line(rng, 30) for _ in range(12)]
+    rows = [(i, edited(rng, line, 1, 0)) for i, line in enumerate(lines)] + [(100 + i, line) for i, line in enumerate(lines)]
+    want = sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect()))
+    h1 = {l: i for i, l in enumerate(l for _, l in rows)}
+    named = spark.createDataFrame([(b, i, 5, 30, i, 1) for b in range(20) for i in h1.values() if (i + b) % 3], "block long, h1 long, simhash long, n int, label long, parts int").transform(_graph.cut)
+    texts = spark.createDataFrame([(i, l) for l, i in h1.items()], "h1 long, line string")
+    pairs = sorted(map(tuple, line_dedup._apart(named, texts).collect()))
+    of_turns, in_turn = [], _graph.cut_in_turn
+
+    def counted(parts):
+        out = [_graph.cut(p) for p in parts]
+        of_turns.append([p.count() for p in out])
+        return in_turn(out)
+
+    for name, value in (("cut_in_turn", counted), ("TURN_ROWS", 1), ("TURN_DOCS", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    assert sorted(map(tuple, line_dedup._apart(named, texts).collect())) == pairs and pairs
+    assert len(of_turns[0]) == line_dedup.TURNS and sum(n > 0 for n in of_turns[0]) > 1
+    assert sorted(map(tuple, line_dedup.dedup_lines(frame(spark, rows)).collect())) == want
+    assert len(of_turns[1]) == line_dedup.TURNS and max(of_turns[1]) < sum(of_turns[1])
+
+
+def test_most_pairs_of_a_block_fall_at_a_small_test(spark, monkeypatch):
+    """The join's own condition has no edit distance, marks or signatures: with them its method was too large for the JVM to compile."""
+    named = spark.createDataFrame([(7, i, 5, 30, i, 1) for i in range(3)], "block long, h1 long, simhash long, n int, label long, parts int").transform(_graph.cut)
+    plans, in_turn = [], _graph.cut_in_turn
+
+    def seen(parts):
+        parts = list(parts)
+        plans.extend(p._jdf.queryExecution().optimizedPlan().toString() for p in parts)
+        return in_turn(parts)
+
+    monkeypatch.setattr(line_dedup, "cut_in_turn", seen)
+    line_dedup._apart(named, spark.createDataFrame([(i, f"line {i}") for i in range(3)], "h1 long, line string"))
+    joins = [l for p in plans for l in p.splitlines() if "Join Inner" in l]
+    assert joins and all("levenshtein" in p for p in plans)
+    assert not any(w in j for j in joins for w in ("levenshtein", "array_intersect", ".m0"))
+
+
 def test_letters_changed_in_half_of_the_words(spark):
     """Recall by number of words; it falls with the number of words, as the README says."""
     rng = random.Random(5)
