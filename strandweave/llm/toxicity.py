@@ -23,6 +23,8 @@ from ._text import ALNUM, Piece, map_pieces
 SAMPLE_ROWS, FOLDS, WORDS, Z = 12_000, 5, 64, 6.0
 CATEGORIES = ("quality", "toxic")
 _DENSE = 5
+#: Text bytes whose words' features are worked on at once.
+PIECE_BYTES = 1 << 20
 
 
 def _piece_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +176,7 @@ def _sample(docs: DataFrame, labels: DataFrame, flags: dict[str, str], key: str,
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], *lists], names=[*same, "h", "dense"])
 
     schema = f"_key {kind}, _hash long, _order long, " + ", ".join(f"{a} int" for a in flags) + ", h array<long>, dense array<double>"
-    found = map_pieces(rows.select("_key", "_hash", "_order", *flags, "_text"), "_text", run, schema)
+    found = map_pieces(rows.select("_key", "_hash", "_order", *flags, "_text"), "_text", run, schema, PIECE_BYTES)
     one = found.groupBy("_key").agg(F.min_by(F.struct("_order", *flags, "h", "dense"), "_hash").alias("x"))
     return one.select("_key", "x.*").withColumn("fold", F.pmod("_order", F.lit(FOLDS)).cast("int"))
 
@@ -249,7 +251,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", threshold: float =
     schema = docs.select(*names).schema
     for c in added:
         schema = schema.add(c, "double")
-    return map_pieces(docs.select(*names), text, run, schema.add("toxic", "boolean"))
+    return map_pieces(docs.select(*names), text, run, schema.add("toxic", "boolean"), PIECE_BYTES)
 
 
 def remove_toxic(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -259,4 +261,4 @@ def remove_toxic(docs: DataFrame, chain: Chain, text: str = "text", threshold: f
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(shared.value.predict(batch.column(text))[:, -1] < threshold))
 
-    return map_pieces(docs, text, run, docs.schema)
+    return map_pieces(docs, text, run, docs.schema, PIECE_BYTES)
