@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,50 +15,82 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import mismatches
 from .components import components, stored
-from .kmers import kmers, kmers_of_lengths
 from .metrics import assembly_metrics
 from .minimizers import sketch
-
-#: Short sequences that are broadcast at most.
-FEW = 1 << 16
+from .rolling import Texts, asked, asked_bits, text_pieces
 
 
 def contained(reads: DataFrame, seed: int = 16, read: str = "read_id", seq: str = "seq") -> DataFrame:
     """(read) of reads that are a strictly shorter part of another read.
 
-    A contained read's first bases occur in its container: an equi-join on that
-    seed finds candidates, those that do not fit by length go, and the whole read
-    is compared there by its digest (sha256).  Reads shorter than a seed begin a k-mer of their container
-    or its last bases: both are made distinct first and then cut to each length.
-    Empty reads lie in any other that is not empty.
+    A read's first window has `seed` bytes, or twice as many as often as they fit (shorter reads: all of theirs).
+    Windows of the reads are hashed where the reads are, and those that begin none go by a filter, so what is shuffled
+    are hits and not all windows.  At a hit, parts of every length that a read with this first window has are
+    compared by their digests (sha256); only sequences with a hit travel, once each.
+    Of short reads each task hands over those that it finds, once.  Empty reads lie in any other that is not empty.
     """
-    some = reads.where(F.length(seq) > 0)
-    own = some.select(F.col(read).alias("a"), F.col(seq).alias("sa"))
-    long = own.where(F.length("sa") >= seed)
-    wide = some.where(F.length(seq) >= seed).select(F.col(read).alias("b"), F.length(seq).alias("lb"), F.col(seq).alias("seq"))
-    places = kmers(wide, seed, "seq", skip_n=False)
-    # A candidate carries the read's digest and not the read, so only the containers' sequences travel, once each.
-    starts = long.select("a", F.length("sa").alias("la"), F.sha2("sa", 256).alias("digest"), F.expr(f"substring(sa, 1, {seed})").alias("kmer"))
-    found = places.join(starts, "kmer").where("la < lb and pos + la <= lb").select("a", "b", "pos", "la", "digest")
-    both = found.join(wide.select("b", F.col("seq").alias("sb")), "b")
-    inside = both.where(F.sha2(F.expr("substring(sb, pos + 1, la)"), 256) == F.col("digest")).select("a")
-    short = own.where(F.length("sa") < seed)
-    sizes = sorted(r[0] for r in short.select(F.length("sa")).distinct().collect())  # below the seed's length
-    names = short.select(F.col("sa").alias("kmer")).distinct()
-    if names.limit(FEW + 1).count() <= FEW:  # else both sides are shuffled
-        names = F.broadcast(names)
-    tail = wide.select(F.expr(f"substring(seq, lb - {seed} + 2, {seed - 1})").alias("t"))
-    tails = tail.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(seed - 1)), lambda i: F.substring(F.col("t"), i, F.lit(seed)))).alias("kmer")) if seed > 1 else tail.select(F.col("t").alias("kmer"))
-    pieces = places.select("kmer").unionByName(tails).distinct().withColumnRenamed("kmer", "piece")
-    pieces = pieces.select("piece", F.explode(F.array(*map(F.lit, sizes or [1]))).alias("k")).where(F.length("piece") >= F.col("k")).select(F.expr("substring(piece, 1, k)").alias("kmer"))
-    # Of reads that are short themselves, all parts but the whole.
-    parts = kmers_of_lengths(short.select(F.length("sa").alias("n"), F.col("sa").alias("seq")), sizes).where(F.col("n") > F.length("kmer")).select("kmer")
-    inner = pieces.join(names, "kmer", "left_semi").unionByName(parts.join(names, "kmer", "left_semi")).distinct()
-    tiny = short.join(inner, F.col("sa") == F.col("kmer"), "left_semi").select("a")
+    ids = reads.schema[read].dataType
+    some = reads.where(F.length(seq) > 0).select(F.col(read).alias("a"), F.col(seq).alias("seq"))
+    own = stored(_first_windows(some, seed, ids))
+    starts = own.select("w", "first").distinct()
+    sizes = sorted(r[0] for r in own.select("w").distinct().collect())
+    hits = stored(_hits(some, sizes, seed, asked_bits(starts, "first", starts.count()), ids))
+    # Lengths of the reads that have the same first window: few, also where many reads are alike.
+    lengths = own.where(F.col("w") >= seed).groupBy("w", "first").agg(F.collect_set("la").alias("las"))
+    fit = F.filter("las", lambda n: (n < F.col("lb")) & (F.col("pos") + n <= F.col("lb")))
+    found = hits.where("piece is null").join(lengths, ["w", "first"]).select("b", "pos", fit.alias("las")).where(F.size("las") > 0)
+    both = found.join(some.select(F.col("a").alias("b"), F.encode("seq", "UTF-8").alias("sb")), "b").select("pos", "sb", F.explode("las").alias("la"))
+    inside = both.select(F.unhex(F.sha2(F.substring("sb", F.col("pos") + 1, F.col("la")), 256)).alias("digest")).distinct()
+    long = own.where(F.col("w") >= seed).join(inside, "digest", "left_semi").select("a")
+    tiny = own.where(F.col("w") < seed).join(hits.select("piece").where("piece is not null").distinct(), "piece", "left_semi").select("a")
     empty = reads.where(F.length(seq) == 0).select(F.col(read).alias("a"))
-    if some.limit(1).count() == 0:
+    if not sizes:
         empty = empty.limit(0)
-    return inside.distinct().unionByName(tiny).unionByName(empty).withColumnRenamed("a", read)
+    return long.distinct().unionByName(tiny.distinct()).unionByName(empty).withColumnRenamed("a", read)
+
+
+def _first_windows(some: DataFrame, seed: int, ids: T.DataType) -> DataFrame:
+    """(a, la, w, first, digest, piece) of reads (a, seq): bytes, bytes and hash of the first window, sha256, and the read itself if shorter than `seed`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_pieces(batches, "seq"):
+            texts = Texts(batch.column("seq"))
+            n = texts.size
+            w = np.where(n < seed, n, seed << np.log2(np.maximum(n // seed, 1)).astype(np.int64))
+            raw = [texts.bytes[s:e].tobytes() for s, e in zip(texts.start.tolist(), texts.end.tolist(), strict=True)]
+            digest = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
+            piece = pa.array([x if len(x) < seed else None for x in raw], pa.binary())
+            first = texts.hashes(texts.start, w).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), pa.array(n.astype(np.int32)), pa.array(w.astype(np.int32)), pa.array(first), digest, piece], names=schema.names)
+
+    schema = T.StructType().add("a", ids).add("la", "integer").add("w", "integer").add("first", "long").add("digest", "binary").add("piece", "binary")
+    return some.mapInArrow(run, schema)
+
+
+def _hits(some: DataFrame, sizes: list[int], seed: int, bits: np.ndarray, ids: T.DataType) -> DataFrame:
+    """(b, pos, lb, w, first) of windows that begin a read, by the filter `bits`; or `piece`, a window of fewer than `seed` bytes that is one, once a piece."""
+    shared = some.sparkSession.sparkContext.broadcast(bits)
+    schema = T.StructType().add("b", ids).add("pos", "integer").add("lb", "integer").add("w", "integer").add("first", "long").add("piece", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_pieces(batches, "seq"):
+            texts, key = Texts(batch.column("seq")), batch.column("a")
+            for w in sizes:
+                row, start = texts.windows(w)
+                longer = texts.size[row] > w  # a read that is as long as the window is the window
+                row, start = row[longer], start[longer]
+                h = texts.hashes(start, w)
+                at = asked(shared.value, h)
+                if w < seed:
+                    at = at[np.unique(h[at], return_index=True)[1]]
+                row, start, h = row[at], start[at], h[at]
+                none = w < seed
+                piece = pa.array([texts.bytes[s : s + w].tobytes() if none else None for s in start.tolist()], pa.binary())
+                columns = [key.take(pa.array(row)), pa.array((start - texts.start[row]).astype(np.int32)), pa.array(texts.size[row].astype(np.int32)), pa.array(np.full(len(row), w, np.int32)), pa.array(h.view(np.int64)), piece]
+                if len(row):
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return some.mapInArrow(run, schema)
 
 
 def candidate_pairs(sketches: DataFrame, inside: DataFrame, least: float = 0.1, read: str = "read_id") -> DataFrame:
